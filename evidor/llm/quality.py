@@ -163,8 +163,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     words = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.value, np.float32).astype(float)) for r in rows]
     label = np.array([float(r.quality) for r in rows])
     machine.fit(stats, words, label)
-    row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in words])
-    machine.centre(machine.raw(stats, row, np.concatenate([b for b, _ in words]), np.concatenate([v for _, v in words]))[0], label)
+    z = []
+    for at in range(0, len(rows), BATCH):
+        part = words[at:at + BATCH]
+        row = np.repeat(np.arange(len(part)), [len(b) for b, _ in part])
+        z.append(machine.raw(stats[at:at + BATCH], row, np.concatenate([b for b, _ in part]), np.concatenate([v for _, v in part]))[0])
+    machine.centre(np.concatenate(z), label)
     return machine
 
 
