@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = bits or min(MAX_BITS, max(1 << 10, 1 << (rows * BITS_A_ROW - 1).bit_length() if rows else 1))
     digest = docs.select(F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"))
     hashed = cut(digest.select("_id", "_sha", F.xxhash64("_sha").alias("h1"), F.xxhash64("_sha", F.lit(1)).alias("h2")))
-    words = cut(repeated_words(hashed, bits))
+    words = cut(repeated_words(hashed, bits).coalesce(max(1, bits >> 22)))
     flagged = hashed
     for i, h in enumerate(("h1", "h2")):
         slot = F.pmod(F.col(h), F.lit(bits))
