@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, packing, quality, toxicity
+from . import decontaminate, exact_dedup, html_extract, packing, quality, toxicity
 from .common import table
 
 
@@ -38,12 +38,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {
