@@ -36,3 +36,20 @@ def fair_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > 1000:
         spark.conf.set(key, "1000")
+
+
+#: Largest id filter, in bits; it is broadcast as 64-bit words. Fuller filters let more rows pass and stay right.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with a column _maybe: false only where ``key`` is certainly not in the one column of ``ids``.
+
+    A filter of bounded size over the ids is broadcast, so that a join that follows shuffles few rows beside its matches.
+    """
+    (name,) = ids.columns
+    bits = min(FILTER_BITS, 1 << (16 * ids.count() + 1023).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
+    words = ids.select(slot(name).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits"))
+    held = rows.withColumn("_slot", slot(key)).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    return held.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_slot & 63 as int)) = 1"), F.lit(False))).drop("_slot", "_word", "_bits")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, maybe_in, small
 
 #: Words of a window; lists intersected for each window.
 WINDOW, RAREST = 10, 2
@@ -78,14 +78,19 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     wins = cut(windows(items, size))
     found = cut(lookups(docs, wins))
     places = cut(candidates(docs, found, wins).groupBy("doc_id").agg(F.collect_list(F.struct("start", "win")).alias("places")))
-    with_places = docs.join(small(places, 2048), "doc_id", "left").withColumn("_w", words(F.col("text")))
+    docs = maybe_in(docs, "doc_id", places.select("doc_id"))
+    key, n_words = F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("bigint").alias("n_words")
+    none = docs.where("NOT _maybe").select("doc_id", key, n_words).distinct()
+    empty = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("spans", "struct<start:int,length:int>"), ("items", "string"))]
+    with_places = docs.where("_maybe").join(places, "doc_id", "left").withColumn("_w", words(F.col("text")))
     read = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["win"].alias("win"), F.slice("_w", p["start"] + 1, size).alias("seen")))
-    rows = with_places.select("doc_id", F.xxhash64("text").alias("text_key"), F.size("_w").cast("bigint").alias("n_words"), F.explode_outer(read).alias("p"))
+    rows = with_places.select("doc_id", key, F.size("_w").cast("bigint").alias("n_words"), F.explode_outer(read).alias("p"))
     rows = rows.select("doc_id", "text_key", "n_words", "p.*").join(small(wins, 256), "win", "left")
     same = F.slice("seen", 1, F.size("w")) == F.col("w")
-    return rows.groupBy("doc_id", "text_key", "n_words").agg(
+    some = rows.groupBy("doc_id", "text_key", "n_words").agg(
         F.collect_set(F.when(same, F.struct("start", F.size("w").alias("length")))).alias("spans"),
         F.collect_set(F.when(same, F.col("item_id"))).alias("items"))
+    return some.unionByName(none.select("*", *empty))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
