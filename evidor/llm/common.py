@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written rows.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests) is a local one made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where ``spark.checkpoint.dir`` is unset (tests) is a local one made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidor-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidor-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -53,3 +56,11 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     words = ids.select(slot(name).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits"))
     held = rows.withColumn("_slot", slot(key)).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"), "left")
     return held.withColumn("_maybe", F.coalesce(F.expr("getbit(_bits, cast(_slot & 63 as int)) = 1"), F.lit(False))).drop("_slot", "_word", "_bits")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the one column of ``ids``; only likely matches are shuffled."""
+    (name,) = ids.columns
+    flagged = maybe_in(docs, "doc_id", ids)
+    likely = flagged.where("_maybe").drop("_maybe").join(ids.select(F.col(name).alias("doc_id")), "doc_id", "left_anti")
+    return flagged.where("NOT _maybe").drop("_maybe").unionByName(likely.select(*docs.columns))

@@ -157,3 +157,18 @@ def score_toxicity(docs: DataFrame, detector: Detector) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), in_fold().alias("held_out"), "text")
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, detector: Detector) -> DataFrame:
+    """``docs`` with its columns, without the rows that score THRESHOLD or more."""
+    fair_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.full(batch.num_rows, detector.bias)
+            for lo, hi, units, row, feature, count in detector.counts(batch.column(at)):
+                z[lo:hi] += detector.unit * units + np.bincount(row, detector.weights[feature] * count, hi - lo)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < THRESHOLD))
+
+    return docs.mapInArrow(clean, docs.schema)
