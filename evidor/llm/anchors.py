@@ -6,7 +6,6 @@ Consecutive windows with one anchor form a run; runs with equal anchors and equa
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import shared_folder
 
 _BITS = 24
 _LOW = W.U((1 << _BITS) - 1)
@@ -73,13 +71,6 @@ def resolve(found: DataFrame, history: DataFrame | None = None) -> DataFrame:
     return rows.select(*found.columns, "new", "head", (F.col("first") < F.col("doc_id")).alias("again"), (F.col("head") & F.col("many") & F.col("fresh")).alias("open"))
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def emit(ids: pa.Array, rows: np.ndarray, lo: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A batch of doc_id, taken by row, and the given 64-bit columns."""
     taken = ids.take(pa.array(rows + lo))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .anchors import RUNS, emit, merged, resolve, runs, starts_of, stored
-from .common import cut, fair_batches, maybe_in
+from .anchors import RUNS, emit, merged, resolve, runs, starts_of
+from .common import cut, fair_batches, maybe_in, stored
 
 #: Words of a window and of the n-gram that anchors it; batches of the registered query; runs that trigger compaction.
 WINDOW, GRAM, BATCHES, FANOUT = 50, 20, 3, 2

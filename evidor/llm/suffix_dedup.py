@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .anchors import RUNS, emit, merged, runs, stored
-from .common import cut, fair_batches, maybe_in
+from .anchors import RUNS, emit, merged, runs
+from .common import cut, fair_batches, maybe_in, stored
 
 #: Bytes of a window and of the n-gram that anchors it; depth in bytes of the quicksort.
 WINDOW, GRAM, SHALLOW = 100, 20, 24
