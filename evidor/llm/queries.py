@@ -72,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
 }

@@ -143,3 +143,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
 def digests(deduplicated: DataFrame) -> DataFrame:
     """The kept texts as their SHA-256."""
     return deduplicated.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)),
+first AS (SELECT k, min(doc_id) AS m FROM wins GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM wins JOIN first USING (k) WHERE m < doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

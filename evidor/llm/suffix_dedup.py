@@ -217,3 +217,17 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def digests(deduplicated: DataFrame) -> DataFrame:
     """The kept bytes as their SHA-256."""
     return deduplicated.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 99)) AS s FROM d)),
+hits AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM wins) WHERE r > 1),
+marks AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS c FROM marks) GROUP BY doc_id, c),
+ends AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs UNION ALL SELECT doc_id, 0, min(a) FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * e.a + 1, 2 * (coalesce(e.b, len(h) // 2) - e.a)), '' ORDER BY e.a) AS t FROM ends e JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(t, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

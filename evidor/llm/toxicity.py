@@ -66,9 +66,9 @@ class Detector:
 
     def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float) -> None:
         """Adam on the non-negative risk, full batch; where the bracket is negative its gradient is reversed. Units come first."""
-        theta = np.r_[np.log(prior / (1 - prior)), np.zeros(1 + len(self.hashes))]
+        theta = np.r_[np.log(prior / (1 - prior)), np.zeros(1 + len(self.hashes))].astype(np.float32)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        xp, xu = np.c_[np.ones(len(pos)), pos], np.c_[np.ones(len(unl)), unl]
+        xp, xu = (np.c_[np.ones(len(x), np.float32), x] for x in (pos, unl))
         for t in range(1, STEPS + 1):
             sp, su = 1 / (1 + np.exp(-xp @ theta)), 1 / (1 + np.exp(-xu @ theta))
             slope_p = prior * ((sp * (1 - sp)) @ xp) / len(xp)
@@ -129,9 +129,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["pos", "units", "x"])
 
     hits = sample.mapInArrow(counted, "pos boolean, units double, x binary").collect() if len(known) else []
-    x = np.array([[r.units, *np.frombuffer(r.x, np.uint8)] for r in hits], float)
+    x = np.array([[r.units, *np.frombuffer(r.x, np.uint8)] for r in hits], np.float32)
     is_pos = np.array([r.pos for r in hits], bool)
-    if len(hits):
+    del hits
+    if len(x):
         order = np.lexsort((*x.T[::-1], is_pos))
         x, is_pos = x[order], is_pos[order]
         detector.fit(x[is_pos], x[~is_pos], prior)
