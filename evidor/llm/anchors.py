@@ -1,7 +1,8 @@
 """Anchors of repeated windows: for every window of a text the smallest n-gram hash in it, found in one pass.
 
 Two equal windows have the same anchor at the same place, so windows need comparing only where anchors are equal.
-Consecutive windows with one anchor form a run; runs with equal anchors and equal whole content are one class.
+Consecutive windows with one anchor form a run; runs with equal anchors and equal whole content are one class. Where a
+text repeats itself so closely that equal runs follow each other, they are one row that tells where the last one ends.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from . import wordhash as W
 _BITS = 24
 _LOW = W.U((1 << _BITS) - 1)
 
-#: key: hash of the anchor; span: hash of the run's content and the anchor's place; first and last window start.
-RUNS = "key long, span long, doc_id long, a long, b long"
+#: key: hash of the anchor; span: hash of the run's content and the anchor's place; a, b: its first and last window
+#: start; last: b, or the last window start of the equal runs that follow it without a gap.
+RUNS = "key long, span long, doc_id long, a long, b long, last long"
 
 
 def starts_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +32,11 @@ def starts_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, key, span, a, b) of every run, a and b as positions in all rows."""
+    """(row, key, span, a, b, last) of every run, with positions counted over all rows."""
     h = values.windows(gram)
     row, start = starts_of(first, window)
     if not len(start):
-        return row, *(np.zeros(0, W.U),) * 2, start, start
+        return row, *(np.zeros(0, W.U),) * 2, start, start, start
     width = window - gram + 1
     at = np.empty(len(h) - width + 1, np.int64)
     step = 1 << (_BITS - 1)
@@ -51,7 +53,12 @@ def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[n
     head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     a, b, place = start[head], start[np.r_[head[1:], len(start)] - 1], place[head]
     span = W.mix(values.spans(a, b + window) + (place - a).astype(W.U) * W.U(0xD6E8FEB86659FD93))
-    return row[head], h[place], span, a, b
+    row, key = row[head], h[place]
+    if len(row) > 1:
+        same = (key[1:] == key[:-1]) & (span[1:] == span[:-1]) & (row[1:] == row[:-1])
+        head = np.flatnonzero(np.r_[True, ~same])
+        return row[head], key[head], span[head], a[head], b[head], b[np.r_[head[1:], len(b)] - 1]
+    return row, key, span, a, b, b
 
 
 def resolve(found: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .anchors import RUNS, emit, merged, resolve, runs, starts_of
+from .anchors import RUNS, emit, merged, resolve, runs
 from .common import cut, fair_batches, maybe_in, stored
 
 #: Words of a window and of the n-gram that anchors it; batches of the registered query; runs that trigger compaction.
@@ -30,16 +30,16 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         for batch in batches:
             for lo, hi, data, offsets in W.chunks(batch.column(1)):
                 start, end, first = W.words(data, offsets)
-                row, key, span, a, b = runs(W.Prefix(W.Prefix(data).spans(start, end)), first, window, gram)
-                yield emit(batch.column(0), row, lo, {"key": key, "span": span, "a": a - first[row], "b": b - first[row]}).select(["key", "span", "doc_id", "a", "b"])
+                row, key, span, a, b, last = runs(W.Prefix(W.Prefix(data).spans(start, end)), first, window, gram)
+                yield emit(batch.column(0), row, lo, {"key": key, "span": span, "a": a - first[row], "b": b - first[row], "last": last - first[row]}).select(["key", "span", "doc_id", "a", "b", "last"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
 def window_hashes(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w1, w2, doc_id, start): the 128-bit hashes of the windows a..b of ``opened`` (doc_id, a, b)."""
-    wanted = cut(opened.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")))
-    texts = maybe_in(docs, "doc_id", wanted.select("doc_id")).where("_maybe").join(wanted, "doc_id").select("doc_id", "text", "a", "b")
+    """(w1, w2, doc_id, a, b): the 128-bit hashes of the windows of the runs in ``opened``, and the words each covers with its repeats."""
+    wanted = cut(opened.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "last"))))
+    texts = maybe_in(docs, "doc_id", wanted.select("doc_id")).where("_maybe").join(wanted, "doc_id").select("doc_id", "text", "a", "b", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,18 +47,18 @@ def window_hashes(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> D
                 start, end, first = W.words(data, offsets)
                 words = W.Prefix(data).spans(start, end)
                 one, two = W.Prefix(words), W.Prefix(W.mix(words ^ W.U(0xA0761D6478BD642F)))
-                lists_a, lists_b = batch.column(2)[lo:hi], batch.column(3)[lo:hi]
-                count = lists_a.value_lengths().to_numpy()
-                row = np.repeat(np.arange(hi - lo), count)
-                a, b = lists_a.flatten().to_numpy() + first[row], lists_b.flatten().to_numpy() + first[row]
-                ok = b + window <= first[row + 1]
-                row, a, b = row[ok], a[ok], b[ok]
-                row = np.repeat(row, b - a + 1)
-                at = starts_of(np.r_[0, np.cumsum(b - a + 1)], 1)
-                at = at[1] - np.r_[0, np.cumsum(b - a + 1)][:-1][at[0]] + a[at[0]]
-                yield emit(batch.column(0), row, lo, {"w1": one.spans(at, at + window), "w2": two.spans(at, at + window), "start": at - first[row]}).select(["w1", "w2", "doc_id", "start"])
+                lists = [batch.column(c)[lo:hi] for c in (2, 3, 4)]
+                row = np.repeat(np.arange(hi - lo), lists[0].value_lengths().to_numpy())
+                a, b, last = (x.flatten().to_numpy() + first[row] for x in lists)
+                ok = last + window <= first[row + 1]
+                row, a, b, last = row[ok], a[ok], b[ok], last[ok]
+                count = b - a + 1
+                run_no = np.repeat(np.arange(len(a)), count)
+                at = np.arange(len(run_no)) - np.repeat(np.cumsum(count) - count, count) + a[run_no]
+                row, final = row[run_no], at + (last[run_no] - at) // count[run_no] * count[run_no]
+                yield emit(batch.column(0), row, lo, {"w1": one.spans(at, at + window), "w2": two.spans(at, at + window), "a": at - first[row], "b": final + window - first[row]}).select(["w1", "w2", "doc_id", "a", "b"])
 
-    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, start long")
+    return texts.mapInArrow(run, "w1 long, w2 long, doc_id long, a long, b long")
 
 
 class FingerprintIndex:
@@ -84,12 +84,12 @@ class FingerprintIndex:
         for other in self.runs:
             history = other if history is None else history.unionByName(other)
         judged = stored(resolve(fingerprints(batch, self.window, self.gram), history).where("new OR open"), "judged")
-        again = judged.where("again AND new").select("doc_id", "a", (F.col("b") + self.window).alias("b"))
-        hashes = window_hashes(texts, judged.where("open").select("doc_id", "a", "b"), self.window)
+        again = judged.where("again AND new").select("doc_id", "a", (F.col("last") + self.window).alias("b"))
+        hashes = window_hashes(texts, judged.where("open").select("doc_id", "a", "b", "last"), self.window)
         first = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
-        proved = hashes.withColumn("first", first).where("first < doc_id").select("doc_id", F.col("start").alias("a"), (F.col("start") + self.window).alias("b"))
+        proved = hashes.withColumn("first", first).where("first < doc_id").select("doc_id", "a", "b")
         found = again.unionByName(proved)
-        self.runs.append(judged.where("new AND head").select("key", "span", "doc_id", "a", "b"))
+        self.runs.append(judged.where("new AND head").select("key", "span", "doc_id", "a", "b", "last"))
         return cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 

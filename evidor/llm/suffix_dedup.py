@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -110,21 +110,19 @@ def byte_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in W.chunks(batch.column(1)):
-                row, key, span, a, b = runs(W.Prefix(data), offsets, window, gram)
-                yield emit(batch.column(0), row, lo, {"key": key, "span": span, "a": a - offsets[row], "b": b - offsets[row]}).select(["key", "span", "doc_id", "a", "b"])
+                row, key, span, a, b, last = runs(W.Prefix(data), offsets, window, gram)
+                yield emit(batch.column(0), row, lo, {"key": key, "span": span, "a": a - offsets[row], "b": b - offsets[row], "last": last - offsets[row]}).select(["key", "span", "doc_id", "a", "b", "last"])
 
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(key, doc_id, a, b, again): runs whose class has an earlier run, and those first of their class beside others."""
-    from pyspark.sql import Window
-
+    """(key, doc_id, a, b, last, again, many): runs whose class has an earlier run, first ones of a class beside others, and runs that repeat."""
     rows = found.repartition("key")
     same, anchor = Window.partitionBy("key", "span").orderBy("doc_id", "a"), Window.partitionBy("key")
     rows = rows.withColumn("again", F.row_number().over(same) > 1)
     rows = rows.withColumn("many", F.min("span").over(anchor) != F.max("span").over(anchor))
-    return rows.where("again OR many").select("key", "doc_id", "a", "b", "again")
+    return rows.where("again OR many OR last > b").select("key", "doc_id", "a", "b", "last", "again", "many")
 
 
 def fragments(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -193,8 +191,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     judged = stored(repeats(byte_runs(docs.where("doc_id IS NOT NULL"), window)), "judged")
     again = judged.where("again").select("doc_id", "a", (F.col("b") + window).alias("b"))
-    sorted_out = sorted_repeats(fragments(docs, judged.where("NOT again"), window), window)
-    ranges = cut(again.unionByName(sorted_out).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    close = judged.where("last > b").select("doc_id", (F.col("b") + 1).alias("a"), (F.col("last") + window).alias("b"))
+    sorted_out = sorted_repeats(fragments(docs, judged.where("many AND NOT again"), window), window)
+    ranges = cut(again.unionByName(close).unionByName(sorted_out).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
     flagged = maybe_in(docs, "doc_id", ranges.select("doc_id"))
     some = flagged.where("_maybe").select("doc_id", "text").join(ranges, "doc_id", "left")
     every = flagged.where("NOT _maybe").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")).unionByName(some)
