@@ -194,3 +194,17 @@ def reconcile(committed: DataFrame, requests: DataFrame, floor: int) -> DataFram
     have = committed.select("request").distinct().withColumn("_c", F.lit(True))
     outcome = F.when(F.col("_c"), "Committed").when(F.col("request") < floor, "BelowFloor").otherwise("Unknown")
     return requests.join(have, "request", "left").select("request", outcome.alias("outcome"))
+
+
+def sticky_acceptance(ledger: Ledger) -> DataFrame:
+    """(claim_id, outcome, at): the chronological reduction, in which the first verdict of a required check is final.
+
+    Blocked at the first attempt (and then validation) whose verdict is not Pass; Validated at the last first verdict
+    when all required checks have one; else Pending without a place.
+    """
+    first = ledger.verdicts.where("verdict IS NOT NULL").groupBy("validation_id").agg(F.min_by("verdict", "attempt").alias("verdict"), F.min("attempt").alias("attempt"))
+    slots = ledger.validations.where(F.col("mode") == vocab.REQUIRED).select("validation_id", "claim_id").join(first, "validation_id", "left")
+    broken = F.min(F.when(F.col("verdict") > 1, F.struct("attempt", "validation_id")))
+    rows = slots.groupBy("claim_id").agg(broken.alias("broken"), F.bool_and(F.coalesce(F.col("verdict") == 1, F.lit(False))).alias("whole"), F.max("attempt").alias("last"))
+    outcome = F.when(F.col("broken").isNotNull(), "Blocked").when(F.col("whole"), "Validated").otherwise("Pending")
+    return rows.select("claim_id", outcome.alias("outcome"), F.when(F.col("broken").isNotNull(), F.col("broken.attempt")).when(F.col("whole"), F.col("last")).alias("at"))

@@ -119,3 +119,50 @@ def merge_ranges(ranges: DataFrame, lo: int, hi: int) -> DataFrame:
     inside = (F.col("start") >= lo) & (F.col("end") <= hi)
     one = ranges.where(inside).agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("generation") + 1).alias("generation"))
     return ranges.where(~inside).unionByName(one)
+
+
+def distance(a: list, b: list, height_a, height_b):
+    """Network distance of two coordinates: Euclidean, plus both heights above the plane."""
+    square = F.lit(0.0)
+    for x, y in zip(a, b, strict=True):
+        square = square + (x - y) * (x - y)
+    return F.sqrt(square) + height_a + height_b
+
+
+def phase_rank(phase):
+    """0 to 7 along the assignment ladder; a failed assignment has no rank, so it is at least nothing."""
+    # The ladder's order.
+    ladder = ("Planned", "Offered", "Accepted", "Seeding", "CatchingUp", "Voting", "Leading", "Serving")
+    out = F.lit(None).cast("int")
+    for rank, name in enumerate(ladder):
+        out = F.when(phase == name, rank).otherwise(out)
+    return out
+
+
+def grants(requests: DataFrame, base: int, most: int, gap: int, overload: int) -> DataFrame:
+    """(worker, granted, extension): extensions asked for in order; each is half the last one, not below an eighth.
+
+    Refused, in this order, when the worker is overloaded, has had ``most``, or asks within ``gap`` of the last grant.
+    A worker's requests are folded in order, a batch at a time.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, last, total, out = None, 0, None, 0, []
+        for batch in batches:
+            for worker, start, load in zip(batch["worker"].tolist(), batch["start"].tolist(), batch["load"].tolist()):
+                if worker != at:
+                    if at is not None:
+                        out.append((at, n, total))
+                    at, n, last, total = worker, 0, None, 0
+                if load > overload or n >= most or (last is not None and start - last < gap):
+                    continue
+                n, last, total = n + 1, start, total + max(base >> n, base >> 3)
+        if at is not None:
+            out.append((at, n, total))
+        yield pd.DataFrame(out, columns=["worker", "granted", "extension"])
+
+    ordered = requests.select("worker", "start", "load", "request").repartition("worker").sortWithinPartitions("worker", "start", "request")
+    return ordered.mapInPandas(fold, "worker long, granted long, extension long")

@@ -215,3 +215,56 @@ def propagate(ledger: Ledger) -> DataFrame:
     after = Ledger(**{**vars(ledger), "claims": claims})
     reached = least_fixpoint(after).select("claim_id", F.lit(vocab.SATISFIED).alias("new"))
     return claims.join(reached, "claim_id", "left").select("claim_id", F.coalesce("new", "status").alias("status"))
+
+
+def components_of_cycles(edges: DataFrame) -> DataFrame:
+    """(id, scc): strongly connected components of more than one node or with a loop, named by their smallest id.
+
+    Nodes on no cycle are peeled off from both sides. Then, round by round, every node takes the smallest id that
+    reaches it; what reaches that id again inside the same colour is its component, and is taken out.
+    """
+    left = _cut(edges.select("source", "target").distinct())
+    out = None
+    while True:
+        while True:
+            kept = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+            kept = _cut(kept.join(kept.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
+            done, left = kept.count() == left.count(), kept
+            if done:
+                break
+        if left.isEmpty():
+            return out if out is not None else left.select(F.col("source").alias("id"), F.col("target").alias("scc"))
+        colour = _cut(left.select(F.col("source").alias("id")).distinct().withColumn("colour", F.col("id")))
+        while True:
+            ahead = left.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("c"))
+            new = _cut(colour.join(ahead, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") < F.col("colour")).alias("moved")))
+            still = new.where("moved").isEmpty()
+            colour = new.select("id", "colour")
+            if still:
+                break
+        inside = left.join(colour.withColumnRenamed("id", "source"), "source").join(colour.select(F.col("id").alias("target"), F.col("colour").alias("other")), "target")
+        inside = _cut(inside.where(F.col("colour") == F.col("other")).select("source", "target", "colour"))
+        back = _cut(colour.where(F.col("id") == F.col("colour")))
+        front = back
+        while not front.isEmpty():
+            step = inside.join(front.select(F.col("id").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("id"), "colour").distinct()
+            front = _cut(step.join(back, ["id", "colour"], "left_anti"))
+            back = _cut(back.union(front))
+        found = back.select("id", F.col("colour").alias("scc"))
+        whole = found.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")
+        whole = whole.union(left.where("source = target").select(F.col("source"))).distinct()
+        real = found.join(whole, "scc", "left_semi").select("id", "scc")
+        out = _cut(real if out is None else out.union(real))
+        gone = found.select("id")
+        left = left.join(gone.withColumnRenamed("id", "source"), "source", "left_anti")
+        left = _cut(left.join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target"))
+
+
+def resolve_deadlines(ledger: Ledger, now: int) -> DataFrame:
+    """(claim_id, outcome, victim) of every due, active claim: Deadlocked with the first created claim of its wait cycle, else Expired."""
+    due = ledger.claims.where(is_active(F.col("status")) & (F.col("deadline_at") <= now)).select("claim_id")
+    cycles = components_of_cycles(wait_edges(ledger))
+    created = ledger.claims.select(F.col("claim_id").alias("id"), "created")
+    victims = cycles.join(created, "id").groupBy("scc").agg(F.min_by("id", F.struct("created", "id")).alias("victim"))
+    member = cycles.join(victims, "scc").select(F.col("id").alias("claim_id"), "victim")
+    return due.join(member, "claim_id", "left").select("claim_id", F.when(F.col("victim").isNotNull(), "Deadlocked").otherwise("Expired").alias("outcome"), "victim")

@@ -302,6 +302,26 @@ query("windowed_changes", f"SELECT CAST(floor(start / {7 * DAY * 1.0}) AS BIGINT
     lambda L: L.samples.groupBy(F.floor(F.col("start") / (7 * DAY)).alias("week"), "outcome").agg(F.count("*").alias("n")))
 
 
+query("deadline_resolution", f""", w AS (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE relation IN (6, 7) UNION ALL SELECT owner, root FROM monitors JOIN monitor_roots USING (monitor_id) WHERE NOT released)
+    JOIN claims a ON a.claim_id = source JOIN claims b ON b.claim_id = target WHERE a.status < 8 AND b.status < 8),
+    reach AS (SELECT source AS x, target AS y FROM w UNION SELECT x, target FROM reach JOIN w ON source = y),
+    scc AS (SELECT a.x AS id, a.y AS other FROM reach a JOIN reach b ON a.x = b.y AND a.y = b.x),
+    victims AS (SELECT id, other AS victim FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY created, other) AS r FROM scc JOIN claims ON claim_id = other) WHERE r = 1)
+    SELECT claim_id, CASE WHEN victim IS NULL THEN 'Expired' ELSE 'Deadlocked' END AS outcome, victim FROM claims LEFT JOIN victims ON id = claim_id WHERE status < 8 AND deadline_at <= {DUE + 200 * 366 * DAY}""")(
+    lambda L: graph.resolve_deadlines(L, DUE + 200 * 366 * DAY))
+query("acceptance_projection", """SELECT claim_id, CASE WHEN b IS NOT NULL THEN 'Blocked' WHEN whole THEN 'Validated' ELSE 'Pending' END AS outcome, CAST(CASE WHEN b IS NOT NULL THEN b WHEN whole THEN last END AS INT) AS at FROM
+    (SELECT claim_id, min(CASE WHEN verdict > 1 THEN attempt END) AS b, bool_and(coalesce(verdict = 1, FALSE)) AS whole, max(attempt) AS last FROM validations LEFT JOIN
+    (SELECT validation_id, arg_min(verdict, attempt) AS verdict, min(attempt) AS attempt FROM verdicts WHERE verdict IS NOT NULL GROUP BY 1) USING (validation_id) WHERE mode = 2 GROUP BY 1)""")(derive.sticky_acceptance)
+query("network_distance", """SELECT a.node_id AS one, b.node_id AS two, round(sqrt((a.load - b.load) * (a.load - b.load) + (a.memory - b.memory) * (a.memory - b.memory)) + a.disk + b.disk, 6) AS distance
+    FROM nodes a JOIN nodes b ON a.zone = b.zone AND a.node_id < b.node_id""")(
+    lambda L: L.nodes.alias("a").join(L.nodes.alias("b"), (F.col("a.zone") == F.col("b.zone")) & (F.col("a.node_id") < F.col("b.node_id"))).select(
+        F.col("a.node_id").alias("one"), F.col("b.node_id").alias("two"),
+        F.round(fleet.distance([F.col("a.load"), F.col("a.memory")], [F.col("b.load"), F.col("b.memory")], F.col("a.disk"), F.col("b.disk")), 6).alias("distance")))
+query("assignment_phase", "SELECT outcome, CASE outcome WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 7 END AS rank, coalesce(CASE outcome WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 7 END >= 3, FALSE) AS at_least, count(*) AS n FROM samples GROUP BY ALL")(
+    lambda L: L.samples.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("rank", fleet.phase_rank(F.when(F.col("outcome") == "signup", "Offered").when(F.col("outcome") == "view", "Seeding").when(F.col("outcome") == "purchase", "Serving").otherwise("Failed")))
+    .select("outcome", "rank", F.coalesce(F.col("rank") >= 3, F.lit(False)).alias("at_least"), "n"))
+query("extension_grant", None)(lambda L: fleet.grants(L.samples.select("worker", "start", F.col("latency").alias("load"), "request"), 1 << 20, 5, DAY, 90_000))
+
 # Scalars
 
 query("status_predicates", "SELECT claim_id, status >= 8 AS terminal, status < 8 AS active FROM claims")(

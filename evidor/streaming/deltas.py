@@ -103,3 +103,49 @@ def replay(deltas: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["claim_id", "status", "changes", "refused"])
 
     return ordered.mapInPandas(fold, "claim_id long, status long, changes long, refused long")
+
+
+def cursor_registry(commands: DataFrame) -> DataFrame:
+    """(consumer, mode, sequence, expires) after each batch of commands (consumer, n, command, sequence, expires).
+
+    Commands: Register, Acknowledge (forward only), Renew, RequireResync, BeginSeed, CompleteSeed. Commands of unknown
+    consumers are ignored but for Register; a consumer in resync takes no acknowledgement until its seed is complete.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        mode, seq, expires = state.get if state.exists else (None, 0, 0)
+        for c in pd.concat(list(batches)).sort_values("n").itertuples():
+            if mode is None and c.command != "Register":
+                continue
+            if c.command == "Register" and mode is None:
+                mode, seq, expires = "Live", int(c.sequence), int(c.expires)
+            elif c.command == "Acknowledge" and mode == "Live":
+                seq = max(seq, int(c.sequence))
+            elif c.command == "Renew":
+                expires = max(expires, int(c.expires))
+            elif c.command == "RequireResync":
+                mode = "Resync"
+            elif c.command == "BeginSeed" and mode == "Resync":
+                mode = "Seeding"
+            elif c.command == "CompleteSeed" and mode == "Seeding":
+                mode, seq = "Live", int(c.sequence)
+        if mode is not None:
+            state.update((mode, seq, expires))
+            yield pd.DataFrame([(key[0], mode, seq, expires)], columns=["consumer", "mode", "sequence", "expires"])
+
+    return commands.groupBy("consumer").applyInPandasWithState(step, "consumer long, mode string, sequence long, expires long", "mode string, sequence long, expires long", "update", "NoTimeout")
+
+
+def due_stream(deadlines: DataFrame, late: str) -> DataFrame:
+    """(claim_id, due): a claim once its newest deadline lies before the watermark of the logged times (column at)."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (due,) = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], due)], columns=["claim_id", "due"])
+            return
+        rows = pd.concat(list(batches)).sort_values("at")
+        due = int(rows["due"].iloc[-1])
+        state.update((due,))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return deadlines.withWatermark("at", late).groupBy("claim_id").applyInPandasWithState(step, "claim_id long, due long", "due long", "append", "EventTimeTimeout")

@@ -102,3 +102,55 @@ def test_status_stream_skips_repeats(spark, sf, tmp_path):
 
     want = {(r.claim_id, r.status, r.changes) for r in latest_status(deltas).collect()}
     assert {tuple(r) for r in spark.table("statuses").collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(35)] + [(100, 100), (200, 201)]
+    reach = {x: {x2 for a, x2 in edges if a == x} for x in range(202)}
+    for _ in range(30):
+        reach = {x: r | {z for y in r for z in reach[y]} for x, r in reach.items()}
+    want = {x: min(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    got = graph.components_of_cycles(spark.createDataFrame(edges, "source long, target long"))
+    assert {r.id: r.scc for r in got.collect()} == want
+
+
+def test_extension_grants(spark, sf):
+    from evidor.operators import fleet
+
+    samples = sample_ledger(spark, sf).samples.select("worker", "start", F.col("latency").alias("load"), "request")
+    want, last = {}, {}
+    for r in sorted(samples.collect(), key=lambda r: (r.worker, r.start, r.request)):
+        n, total = want.setdefault(r.worker, (0, 0))
+        if r.load <= 90_000 and n < 5 and (r.worker not in last or r.start - last[r.worker] >= 86_400_000_000):
+            want[r.worker], last[r.worker] = (n + 1, total + max((1 << 20) >> n, (1 << 20) >> 3)), r.start
+    got = fleet.grants(samples, 1 << 20, 5, 86_400_000_000, 90_000).collect()
+    assert {r.worker: (r.granted, r.extension) for r in got} == want
+
+
+def run_stream(df, name, path, mode):
+    out = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", path).start()
+    out.awaitTermination()
+    return df.sparkSession.table(name).collect()
+
+
+def test_cursor_registry(spark, tmp_path):
+    schema = "consumer long, n long, command string, sequence long, expires long"
+    rows = [(1, 1, "Register", 5, 50), (1, 2, "Acknowledge", 9, 0), (1, 3, "Acknowledge", 7, 0), (1, 4, "Renew", 0, 80),
+            (2, 1, "Acknowledge", 3, 0), (3, 1, "Register", 1, 10), (3, 2, "RequireResync", 0, 0), (3, 3, "Acknowledge", 8, 0), (3, 4, "BeginSeed", 0, 0),
+            (4, 1, "Register", 1, 10), (4, 2, "RequireResync", 0, 0), (4, 3, "BeginSeed", 0, 0), (4, 4, "CompleteSeed", 40, 0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = run_stream(stream.cursor_registry(source), "registry", str(tmp_path / "c"), "update")
+    assert {tuple(r) for r in got} == {(1, "Live", 9, 80), (3, "Seeding", 1, 10), (4, "Live", 40, 10)}
+
+
+def test_due_stream(spark, tmp_path):
+    schema = "claim_id long, at timestamp, due long"
+    for k, rows in enumerate([[(1, 10, 20_000), (2, 11, 900_000_000)], [(3, 500, 600_000_000)], [(4, 501, 700_000_000)]]):
+        df = spark.createDataFrame(rows, "claim_id long, at long, due long").select("claim_id", F.timestamp_seconds("at").alias("at"), "due")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_stream(stream.due_stream(source, "1 second"), "due", str(tmp_path / "c"), "append")
+    assert [tuple(r) for r in got] == [(1, 20_000)]
