@@ -144,7 +144,7 @@ def test_deep_shallow_sorts(seed):
 
 def brute_lines(texts):
     def grams(t):
-        return frozenset(m[1] for m in re.finditer(r"(?<!\S)(?=(\S.{0,11}))", t))
+        return frozenset(m[1] for m in re.finditer(r"(?<!\S)(?=(\S.{0,8}))", t))
 
     every = {(i, n): line.lower().strip(" ") for i, t in texts if t is not None for n, line in enumerate(t.split("\n"))}
     distinct = sorted({t for t in every.values() if t})
