@@ -9,15 +9,20 @@ a group pads at most the end of its sequences by less than one capacity.
 
 from __future__ import annotations
 
+import base64
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import fair_batches
 
@@ -35,21 +40,13 @@ class Encoder:
     """The ids of a ``tokenizers`` file; its rank file beside it, for the same ids, is used where there is one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = None
-        try:
-            import base64
-            import tiktoken
-            from public_tokenizers import PATTERN
-
-            with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        except (ImportError, OSError):
-            pass
+        self.fast, ranks = None, path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks):
+            with open(ranks, "rb") as f:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
