@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Equal lines are one line at once. Of every distinct line the character shingles that begin at word starts are hashed;
+Equal lines are one line at once. Of every distinct line all character shingles are hashed;
 the smallest hash in each of 16 ranges of hash values is its signature (one permutation), and two neighbouring ranges
 are a band. Lines that share a band are compared on their whole shingle sets, linked lines are united by distributed
 union-find, and the first line of each component stays.
@@ -19,6 +19,8 @@ from .components import components
 #: Characters of a shingle, bands (a line at the threshold shares one with probability 1 - (1 - 0.8^2)^6 = 0.998), and
 #: the similarity from which lines are the same.
 SHINGLE, BANDS, THRESHOLD = 9, 6, 0.8
+#: Shingles of a piece of a long line.
+PIECE = 256
 #: Keys of a line at most: all eight bands where each has one bin only.
 MOST_KEYS = 8
 #: Lines of a band of up to NEAR + 1 lines are paired in full. Larger bands are crowded: two lines are paired in them only
@@ -34,8 +36,15 @@ def tidy(line: Column) -> Column:
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashes of the ``size`` characters (or those up to the end) from each word start, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?=(\S.{{0,{size - 1}}}))\S+"), F.lit(1)), lambda s: F.xxhash64(s))))
+    """Distinct hashes of the ``size`` characters from each character on (or of a whole shorter line), ascending.
+
+    Characters are found by counting from the start, so a long line is cut into overlapping pieces first.
+    """
+    count = F.greatest(F.length(line) - (size - 1), F.lit(1))
+    hashed = lambda t, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(t, i, size)))
+    pieces = F.transform(F.sequence(F.lit(0), ((count - 1) / PIECE).cast("int")), lambda p: F.substring(line, p * PIECE + 1, PIECE + size - 1))
+    long = F.flatten(F.transform(pieces, lambda t: hashed(t, F.greatest(F.length(t) - (size - 1), F.lit(1)))))
+    return F.sort_array(F.array_distinct(F.when(count <= PIECE, hashed(line, count)).otherwise(long)))
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -188,6 +188,39 @@ def test_line_dedup(spark):
         assert cleaned[i].text == want and cleaned[i].n_chars == len(want or "")
 
 
+def full_line_links(lines):
+    """Every pair of distinct lines whose sets of all character shingles have a Jaccard similarity of 0.8 or more."""
+    size = line_dedup.SHINGLE
+    sets = [{t[i:i + size] for i in range(max(1, len(t) - size + 1))} for t in lines]
+    return {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+
+
+def kept_lines(lines):
+    """For lines in order, whether each is the first of its component of full_line_links."""
+    root = list(range(len(lines)))
+    for i, j in sorted(full_line_links(lines)):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return [root[i] == i for i in range(len(lines))]
+
+
+def test_line_dedup_full_shingles(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(n))
+    urls = [f"https://www.example.com/{word(40)}" for _ in range(12)]
+    urls += [urls[0] + "x", urls[1][:-1]]
+    same = han(9)
+    texts = [same + han(40) for _ in range(6)] + ["/usr/local/share/" + word(50) for _ in range(6)] + urls
+    long = " ".join(word(60) for _ in range(3))
+    texts += [long, long[:2] + "~" + long[2:], word(700), "short", "shor", "a", "b"]
+    texts.append(texts[-5][:350] + "~" + texts[-5][350:])
+    got = {r.doc_id: r.kept for r in line_dedup.mark(table(spark, texts)).collect()}
+    want = kept_lines(texts)
+    assert want.count(False) == 4
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.mark(table(spark, [(1, "x")]).limit(0)).count() == 0
     rows = line_dedup.mark(table(spark, [(1, "same line"), (1, "same line"), (2, "SAME line \n"), (3, None)])).collect()
