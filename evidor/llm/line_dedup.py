@@ -1,15 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Equal lines are one line at once. Of every distinct line all character shingles are hashed;
-the smallest hash in each of 16 ranges of hash values is its signature (one permutation), and two neighbouring ranges
-are a band. Lines that share a band are compared on their whole shingle sets, linked lines are united by distributed
-union-find, and the first line of each component stays.
+Equal lines are one line at once. Of every distinct line all character shingles are hashed; the smallest hash in each
+of 16 ranges of hash values is its signature (one permutation), and two neighbouring ranges are a band. Lines that share
+a band are compared on their whole shingle sets (in crowded bands until their components are settled), linked lines are
+united by distributed union-find, and the first line of each component stays.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +18,13 @@ from .components import components
 #: the similarity from which lines are the same.
 SHINGLE, BANDS, THRESHOLD = 9, 6, 0.8
 #: Shingles of a piece of a long line.
-PIECE = 256
+PIECE = 64
 #: Keys of a line at most: all eight bands where each has one bin only.
 MOST_KEYS = 8
-#: Lines of a band of up to NEAR + 1 lines are paired in full. Larger bands are crowded: two lines are paired in them only
-#: if they share two crowded bands, in full again, or with the line before where that is crowded too.
-NEAR = 4
+#: Lines of a band of up to NEAR + 1 lines are paired in full. In larger, crowded ones each is paired with the one before
+#: it, then TURNS times what is outside a band's largest component with one line of that; all pairs of different
+#: components that this leaves open are settled by an exact join.
+NEAR, TURNS = 4, 1
 #: Parts into which the lines of one hash are dealt when classes are joined to them.
 SALTS = 16
 
@@ -67,40 +66,100 @@ def bands(sig: Column, count: int = BANDS) -> Column:
     return F.array_compact(F.transform(F.slice(sig, 1, 2 * count), key))
 
 
-def near_pairs(keyed: DataFrame, chain: bool, near: int = NEAR) -> DataFrame:
-    """(a, b), a < b: lines of a key with each other; in a larger key each with the one before it if ``chain``, else none.
+def alike(n: Column, m: Column) -> Column:
+    """Whether two numbers of shingles alone leave the threshold possible."""
+    return F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-9
+
+
+def near_pairs(keyed: DataFrame, near: int = NEAR) -> DataFrame:
+    """(a, b), a < b: lines of a key with each other; in a key of more than ``near`` + 1 lines each with the one before it.
 
     Pairs whose numbers of shingles alone rule the threshold out are left out.
     """
     by = Window.partitionBy("key").orderBy("id")
     before = keyed.withColumn("large", F.count("*").over(Window.partitionBy("key")) > near + 1)
-    before = before.select("id", "n", "large", *(F.lag(F.struct("id", "n"), k).over(by).alias(f"l{k}") for k in range(1, near + 1))).where("l1 IS NOT NULL" if chain else "l1 IS NOT NULL AND NOT large")
+    before = before.select("id", "n", "large", *(F.lag(F.struct("id", "n"), k).over(by).alias(f"l{k}") for k in range(1, near + 1))).where("l1 IS NOT NULL")
     others = F.when(F.col("large"), F.array("l1")).otherwise(F.array_compact(F.array(*(f"l{k}" for k in range(1, near + 1)))))
-    pairs = before.select("id", "n", F.explode(others).alias("o")).where((F.col("o.id") != F.col("id")) & (F.least("n", "o.n") >= THRESHOLD * F.greatest("n", "o.n") - 1e-9))
+    pairs = before.select("id", "n", F.explode(others).alias("o")).where((F.col("o.id") != F.col("id")) & alike(F.col("n"), F.col("o.n")))
     return pairs.select(F.col("o.id").alias("a"), F.col("id").alias("b"))
 
 
-def candidates(once: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b): pairs to verify of the rows (id, n, keys). Most keys occur once; they are sieved out before the pairing."""
+def candidates(once: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify of the rows (id, n, keys), and the rows (key, id, n) of crowded keys, for ``crowded_links``.
+
+    Most keys occur once; they are sieved out before the pairing.
+    """
     keyed = once.select("id", "n", F.explode("keys").alias("key"))
     repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     shared = cut(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("id", "n", "key"))
-    crowded = shared.join(repeated.where(F.col("m") > near + 1), "key", "left_semi")
-    both = crowded.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("k")).where(F.size("k") > 1)
-    twos = F.array(*(F.when(F.size("k") > j, F.xxhash64(F.get("k", F.lit(i)), F.get("k", F.lit(j)))) for i, j in combinations(range(MOST_KEYS), 2)))
-    refined = both.select("id", "n", F.explode(F.array_compact(twos)).alias("key"))
-    return near_pairs(shared, False, near).union(near_pairs(refined, True, near)).distinct()
+    crowd = shared.join(repeated.where(F.col("m") > near + 1), "key", "left_semi")
+    return near_pairs(shared, near).distinct(), cut(crowd.select("key", "id", "n").distinct())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): the pairs whose whole shingle sets have a Jaccard similarity of ``threshold`` or more."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def placed(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, root): the rows of keys whose lines are not all of one component; written once."""
+    rows = crowd.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return cut(rows.join(open_keys, "key", "left_semi"))
+
+
+def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: the lines outside the largest component of each key with one of its lines, another in each turn."""
+    size = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("p"))
+    main = size.groupBy("key").agg(F.max_by(F.struct("root", "p"), F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.p.id").alias("p"), F.col("m.p.n").alias("pn"))
+    pairs = rows.join(main, "key").where((F.col("root") != F.col("main")) & alike(F.col("n"), F.col("pn")))
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: of the lines (id, n, root) with ``texts``, all pairs in different components that can be at the threshold.
+
+    Two such lines share one of the (1 - threshold) * n + 1 rarest shingles of each. A token's lines of its largest
+    component are met by the others only; lines of a token are dealt to salts on one side and repeated on the other.
+    """
+    lines_ = cut(rows.select("id", "n", "root").distinct())
+    tokens = lines_.join(texts, "id").select("id", "n", "root", F.explode(shingles(F.col("t"))).alias("x"))
+    often = tokens.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    # a shingle met once is in no pair, but takes its place among the rarest
+    ranked = tokens.join(often, "x", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    kept = ranked.groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("t"))
+    length = F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9).cast("int") + 1
+    prefix = cut(kept.select("id", "n", "root", F.explode(F.filter(F.slice("t", F.lit(1), length), lambda t: t["f"] > 1)).alias("t")).select("id", "n", "root", F.col("t.x").alias("x")))
+    each = prefix.groupBy("x", "root").agg(F.count("*").alias("c"))
+    token = each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    held = prefix.join(token, "x")
+    left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    met = left.alias("l").join(right.alias("r"), ["x", "salt"]).where((F.col("l.root") != F.col("r.root")) & alike(F.col("l.n"), F.col("r.n")))
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+
+def crowded_links(texts: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``links`` with those that unite components of the crowded keys: pivots first, and what they leave by an exact join."""
+    for turn in range(TURNS):
+        rows = placed(crowd, components(links))
+        if rows.isEmpty():
+            return links
+        found = cut(similar(texts, cut(pivot_pairs(rows, turn)), threshold))
+        links = cut(links.union(found))
+    rows = placed(crowd, components(links))
+    return links if rows.isEmpty() else cut(links.union(similar(texts, cut(prefix_pairs(texts, rows)), threshold)))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, t): the lines in the one column of ``wanted``; written once. Their shingles take many times their room."""
     found = lines(docs).select(tidy(F.col("line")).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("id"), "t")
-    found = maybe_in(found, "id", wanted).where("_maybe").groupBy("id").agg(F.min("t").alias("t"))
-    sets = cut(found.select("id", shingles(F.col("t")).alias("s")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return cut(maybe_in(found, "id", wanted).where("_maybe").groupBy("id").agg(F.min("t").alias("t")))
+
+
+def similar(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): the pairs whose whole shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    # in an array, so that the sets are formed once a pair
+    sets = both.select("a", "b", F.explode(F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))).alias("s"))
     # |x & y| / |x | y| >= t, written so that the intersection is formed once
-    return both.where(F.size(F.array_intersect("x", "y")) >= threshold / (1 + threshold) * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
+    x, y = F.col("s.x"), F.col("s.y")
+    return sets.where(F.size(F.array_intersect(x, y)) >= threshold / (1 + threshold) * (F.size(x) + F.size(y)) - 1e-9).select("a", "b")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -117,7 +176,12 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, root): for the hash of every line that has a near duplicate, the smallest hash of its component."""
-    return components(cut(verified(docs, cut(candidates(once)), threshold)))
+    pairs, crowd = candidates(once)
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct())
+    texts = texts_of(docs, wanted)
+    links = cut(similar(texts, pairs, threshold))
+    return components(crowded_links(texts, crowd, links, threshold))
 
 
 def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -221,6 +221,35 @@ def test_line_dedup_full_shingles(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_line_dedup_crowded_band(spark):
+    """A band that holds every line: the components of all pairs are found, also of lines that no pivot resembles."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(4):
+        line = words(rng, 30, 900).split()
+        for _ in range(30):
+            line[rng.randrange(len(line))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(line))
+    texts += [words(rng, 20, 900) for _ in range(40)]
+    rng.shuffle(texts)
+    docs = table(spark, texts)
+    t = line_dedup.tidy(F.col("text"))
+    once = docs.select(F.xxhash64(t).alias("id"), F.size(line_dedup.shingles(t)).alias("n"), F.array(F.lit(1).cast("long")).alias("keys"))
+    ids = {r.id: r.doc_id for r in docs.select("doc_id", F.xxhash64(t).alias("id")).collect()}
+    found = {}
+    for r in line_dedup.line_classes(docs, once).collect():
+        found.setdefault(r.root, set()).add(ids[r.id])
+    root = list(range(len(texts)))
+    for i, j in full_line_links(texts):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+    assert len(want) > 40
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.mark(table(spark, [(1, "x")]).limit(0)).count() == 0
     rows = line_dedup.mark(table(spark, [(1, "same line"), (1, "same line"), (2, "SAME line \n"), (3, None)])).collect()
