@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POINTS = {"p50": 500, "p95": 950, "p99": 990, "p999": 999}
@@ -50,10 +53,6 @@ def sequence_gaps(sequences: DataFrame, width: int = 1 << 20) -> DataFrame:
     return broken.join(F.broadcast(first), F.col("sequence") > F.col("first")).select("sequence")
 
 
-def _fold(values: Column, step, start: Column) -> Column:
-    return F.aggregate(values, start, step)
-
-
 def rtt_tail(samples: DataFrame, size: int = 16, least: int = 1000) -> DataFrame:
     """(worker, request, median, mad, tail) over the last ``size`` samples: upper median, median absolute deviation, median + max(4 mad, least)."""
     w = Window.partitionBy("worker").orderBy("request").rowsBetween(1 - size, 0)
@@ -63,23 +62,37 @@ def rtt_tail(samples: DataFrame, size: int = 16, least: int = 1000) -> DataFrame
     return rows.select("worker", "request", "median", "mad", (F.col("median") + F.greatest(4 * F.col("mad"), F.lit(least))).alias("tail"))
 
 
-def rtt_ewma(samples: DataFrame, recent: int = 512) -> DataFrame:
+def rtt_ewma(samples: DataFrame) -> DataFrame:
     """(worker, smoothed, variation): integer smoothing by eighths and quarters over a worker's samples in order.
 
-    The first sample sets smoothed to itself and variation to half of it. Only the fold's order matters, so each
-    worker's samples are one array; ``recent`` documents the size such arrays are expected to stay in.
+    The first sample sets smoothed to itself and variation to half of it. A worker's samples are folded in order, a batch
+    at a time; after a null latency both are null.
     """
-    ordered = samples.groupBy("worker").agg(F.sort_array(F.collect_list(F.struct("request", "latency"))).alias("_s"))
-    values = F.transform("_s", lambda x: x["latency"])
-    first = F.element_at(values, 1)
-    start = F.struct(first.alias("s"), F.shiftright(first, 1).alias("v"))
-
-    def step(acc: Column, x: Column) -> Column:
-        var = acc["v"] - F.shiftright(acc["v"], 2) + F.shiftright(F.abs(acc["s"] - x), 2)
-        return F.struct((acc["s"] - F.shiftright(acc["s"], 3) + F.shiftright(x, 3)).alias("s"), var.alias("v"))
-
-    folded = _fold(F.slice(values, F.lit(2), F.size(values)), step, start)
-    return ordered.select("worker", folded.alias("f")).select("worker", F.col("f.s").alias("smoothed"), F.col("f.v").alias("variation"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, at, s, v, out = False, None, None, None, []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["worker", "smoothed", "variation"])
+
+        for batch in batches:
+            for worker, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not started or worker != at:
+                    if started:
+                        out.append((at, s, v))
+                    started, at, s, v = True, worker, x, None if x is None else x >> 1
+                elif s is None or x is None:
+                    s = v = None
+                else:
+                    s, v = s - (s >> 3) + (x >> 3), v - (v >> 2) + (abs(s - x) >> 2)
+            if len(out) > 10_000:
+                yield rows()
+                out = []
+        if started:
+            out.append((at, s, v))
+            yield rows()
+
+    ordered = samples.select(F.col("worker").cast("bigint"), F.col("latency").cast("bigint"), "request").repartition("worker").sortWithinPartitions("worker", "request", "latency")
+    return ordered.select("worker", "latency").mapInArrow(fold, "worker long, smoothed long, variation long")
 
 
 def tumbling(samples: DataFrame, bin_us: int, slow: int) -> DataFrame:

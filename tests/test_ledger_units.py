@@ -154,3 +154,25 @@ def test_due_stream(spark, tmp_path):
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run_stream(stream.due_stream(source, "1 second"), "due", str(tmp_path / "c"), "append")
     assert [tuple(r) for r in got] == [(1, 20_000)]
+
+
+def test_rtt_ewma_is_folded_without_collecting(spark):
+    from evidor.operators import measure
+
+    rows = [(w, i, (i * 7919 + (w or 5) * 31) % 5000) for w in (1, 2, None) for i in range(300)] + [(3, 0, 9), (4, 0, 8), (4, 1, None), (4, 2, 8)]
+    got = measure.rtt_ewma(spark.createDataFrame(rows, "worker long, request long, latency long").repartition(5))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = {3: (9, 4), 4: (None, None)}
+    for w in (1, 2, None):
+        values = [x for k, _, x in rows if k == w]
+        s, v = values[0], values[0] >> 1
+        for x in values[1:]:
+            s, v = s - (s >> 3) + (x >> 3), v - (v >> 2) + (abs(s - x) >> 2)
+        want[w] = (s, v)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert {r.worker: (r.smoothed, r.variation) for r in got.collect()} == want
+    finally:
+        spark.conf.set(key, before)
