@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import fair_batches
 
-#: Elements without end tag, elements whose text is no text, inline elements, and ends implied by another start.
+#: Elements without end tag, elements whose text is no text (those of TO_END, where unclosed, to the page's end), inline
+#: elements with those of formulas, and ends implied by another start.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe textarea title svg".split())
+TO_END = frozenset("script style iframe textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object math semantics annotation mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose merror mspace mmultiscripts mprescripts none".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNQUOTED_SLASH = re.compile(r"=[^\s\"'=]+/$")
 _MOST_TAG = 4096
 
 Block = tuple[str, list[str]]
@@ -37,12 +41,35 @@ def _named(attributes: str) -> list[str]:
     return [f"word:{w.lower()}" for m in _NAMED.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
 
 
+def _closed(attributes: str) -> bool:
+    """Whether a start tag closes itself; the slash at the end of an unquoted value does not."""
+    return attributes.endswith("/") and not _UNQUOTED_SLASH.search(attributes)
+
+
+def _raw_ends(page: str, tag: str) -> dict[int, int]:
+    """The end behind each element of a name that is closed, by the place of its start tag; elements may be nested."""
+    ends, starts = {}, []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])([^>]*)>", re.I).finditer(page):
+        if not m[1]:
+            if not _closed(m[2]):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """(text, features) of the leaf blocks in page order: references decoded, white space as one space, trimmed."""
     out: list[tuple[str, str, frozenset, int, int]] = []
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
     text: list[str] = []
     linked, in_link, links = 0, 0, 0
+    within: Counter[str] = Counter()
+    raw: dict[str, dict[int, int]] = {}
+
+    def leave(i: int) -> None:
+        within.subtract(t for t, _ in stack[i:])
+        del stack[i:]
 
     def flush() -> None:
         nonlocal linked, links
@@ -88,14 +115,19 @@ def blocks(page: str) -> list[Block]:
             in_link = 0 if ends else 1
             links += not ends
         if ends:
-            for i in range(len(stack) - 1, max(0, len(stack) - 256), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if within[tag] > 0:
+                leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if _closed(m[3]):
+                continue
+            if tag in TO_END:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                continue
+            if tag not in raw:
+                raw[tag] = _raw_ends(page, tag)
+            at = raw[tag].get(m.start(), at)
             continue
         if m[3].endswith("/") and tag not in INLINE and ":" in tag:
             continue
@@ -104,10 +136,11 @@ def blocks(page: str) -> list[Block]:
             shut = (*shut, "p")
         for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
             if stack[i][0] in shut:
-                del stack[i:]
+                leave(i)
                 break
             if stack[i][0] not in INLINE and stack[i][0] not in shut:
                 break
+        within[tag] += 1
         stack.append((tag, stack[-1][1] | {f"in:{tag}", *_named(m[3])} if len(stack) < 512 else stack[-1][1]))
     flush()
     return [(words, _features(words, tag, around, linked, links, i, len(out))) for i, (words, tag, around, linked, links) in enumerate(out)]

@@ -551,3 +551,14 @@ def test_words_and_hashes():
     assert [hi - lo for lo, hi, *_ in W.chunks(sliced)] == [3]
     p = W.Prefix(np.arange(50, dtype=np.uint64) % 7)
     assert p.spans(np.array([0, 7]), np.array([20, 27]))[0] == p.spans(np.array([7]), np.array([27]))[0]
+
+
+def test_html_raw_and_deep_elements():
+    text = lambda page: [t for t, _ in html_extract.blocks(page)]
+    for empty in ("<svg class='i'/>", "<svg viewBox=0 />", "<script src='x'/>", "<noscript>", "<template>", "<svg>"):
+        assert text(f"<p>one</p>{empty}<p>two</p><svg><text>no</text></svg><p>three</p>") == ["one", "two", "three"], empty
+    assert text("<p>a</p><svg><svg><text>x</text></svg><text>y</text></svg><p>b</p><script>c<p>d</p>") == ["a", "b"]
+    assert text("<script src=/x/>no</script><p>a</p>") == ["a"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object><p>fallback</p></object>") == ["so x=1 holds", "fallback"]
+    deep = html_extract.blocks("<nav>" + "<b>" * 400 + "menu</nav><article><p>text</p></article>")
+    assert [(t, "in:nav" in f) for t, f in deep] == [("menu", True), ("text", False)]
