@@ -62,10 +62,11 @@ def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[n
 
 
 def resolve(found: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Columns of RUNS with new, again, open and head, by one sort of new and historical runs by anchor.
+    """Columns of RUNS with new, again, open, own and head, by one sort of new and historical runs by anchor.
 
     again: an earlier document has a run of the same class, so all its windows repeat. head: the first of its class.
     open: the first of its class while the anchor has other classes, one of them new: its windows are to be compared.
+    own: the same for every run of the class in the document of its first, as each of them may repeat an earlier one.
     """
     rows = found.withColumn("new", F.lit(True))
     if history is not None:
@@ -75,7 +76,7 @@ def resolve(found: DataFrame, history: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("first", F.min("doc_id").over(same)).withColumn("n", F.row_number().over(same.orderBy("doc_id", "a")))
     rows = rows.withColumn("head", F.col("n") == 1)
     rows = rows.withColumn("many", F.min("span").over(anchor) != F.max("span").over(anchor)).withColumn("fresh", F.max(F.col("new") & F.col("head")).over(anchor))
-    return rows.select(*found.columns, "new", "head", (F.col("first") < F.col("doc_id")).alias("again"), (F.col("head") & F.col("many") & F.col("fresh")).alias("open"))
+    return rows.select(*found.columns, "new", "head", (F.col("first") < F.col("doc_id")).alias("again"), (F.col("head") & F.col("many") & F.col("fresh")).alias("open"), ((F.col("first") == F.col("doc_id")) & F.col("many") & F.col("fresh")).alias("own"))
 
 
 def emit(ids: pa.Array, rows: np.ndarray, lo: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:

@@ -83,9 +83,9 @@ class FingerprintIndex:
         history = None
         for other in self.runs:
             history = other if history is None else history.unionByName(other)
-        judged = stored(resolve(fingerprints(batch, self.window, self.gram), history).where("new OR open"), "judged")
+        judged = stored(resolve(fingerprints(batch, self.window, self.gram), history).where("new OR own"), "judged")
         again = judged.where("again AND new").select("doc_id", "a", (F.col("last") + self.window).alias("b"))
-        hashes = window_hashes(texts, judged.where("open").select("doc_id", "a", "b", "last"), self.window)
+        hashes = window_hashes(texts, judged.where("own").select("doc_id", "a", "b", "last"), self.window)
         first = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
         proved = hashes.withColumn("first", first).where("first < doc_id").select("doc_id", "a", "b")
         found = again.unionByName(proved)

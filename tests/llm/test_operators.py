@@ -562,3 +562,11 @@ def test_html_raw_and_deep_elements():
     assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><object><p>fallback</p></object>") == ["so x=1 holds", "fallback"]
     deep = html_extract.blocks("<nav>" + "<b>" * 400 + "menu</nav><article><p>text</p></article>")
     assert [(t, "in:nav" in f) for t, f in deep] == [("menu", True), ("text", False)]
+
+
+def test_substring_section_repeated_in_its_own_document(spark):
+    rng = random.Random(21)
+    v, p, z, x, y, other = (words(rng, n, 10**6) for n in (40, 60, 40, 60, 60, 100))
+    docs = table(spark, [(1, f"{x} {p} {y}"), (2, f"{v} {p} {z} {other} {v} {p} {z}")])
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {1: (0, f"{x} {p} {y}"), 2: (120, f"{v} {z} {other} {v} {z}")}
