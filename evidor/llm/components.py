@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     repeated links are allowed; null ends are left out.
     """
     edges = cut(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("root", F.col("id")))
+    roots = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
@@ -24,5 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = cut(hook.join(above, "p").select("id", F.least("p", "pp").alias("to")))
         left = edges.join(jump.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
         edges = cut(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        roots = cut(roots.join(jump.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-    return roots
+        if roots is None:
+            roots = jump.select("id", F.col("to").alias("root"))
+        else:
+            roots = cut(roots.join(jump.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")) if roots is None else roots

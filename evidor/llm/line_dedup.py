@@ -1,30 +1,25 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Equal lines are one line at once. Of every distinct line all character shingles are hashed; the smallest hash in each
-of 16 ranges of hash values is its signature (one permutation), and two neighbouring ranges are a band. Lines that share
-a band are compared on their whole shingle sets (in crowded bands until their components are settled), linked lines are
-united by distributed union-find, and the first line of each component stays.
+Equal lines are one line at once. Every character shingle of a line is hashed; the smallest hash in each of 12 ranges of
+hash values is its signature (one permutation), and two neighbouring ranges are a band. Lines that share a band are
+compared on their whole shingle sets, linked lines are united by distributed union-find, and the first line of each
+component stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_in, stored
 from .components import components
 
-#: Characters of a shingle, bands (a line at the threshold shares one with probability 1 - (1 - 0.8^2)^6 = 0.998), and
-#: the similarity from which lines are the same.
+#: Characters of a shingle, bands of two ranges (a line at the threshold shares one with probability
+#: 1 - (1 - 0.8^2)^6 = 0.998), and the similarity from which lines are the same.
 SHINGLE, BANDS, THRESHOLD = 9, 6, 0.8
-#: Shingles of a piece of a long line.
-PIECE = 64
-#: Keys of a line at most: all eight bands where each has one bin only.
-MOST_KEYS = 8
-#: Lines of a band of up to NEAR + 1 lines are paired in full. In larger, crowded ones each is paired with the one before
-#: it, then TURNS times what is outside a band's largest component with one line of that; all pairs of different
-#: components that this leaves open are settled by an exact join.
-NEAR, TURNS = 4, 1
+#: The lines of a band are compared with two of them; where that leaves several components, those of a band of up to
+#: SMALL lines are paired in full and those of larger ones by an exact join on rare shingles.
+SMALL = 8
 #: Parts into which the lines of one hash are dealt when classes are joined to them.
 SALTS = 16
 
@@ -34,91 +29,81 @@ def tidy(line: Column) -> Column:
     return F.trim(F.lower(line))
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashes of the ``size`` characters from each character on (or of a whole shorter line), ascending.
+def coded(line: Column) -> Column:
+    """Four bytes for each character, so that a shingle is found without counting characters from the start."""
+    return F.encode(line, "UTF-32")
 
-    Characters are found by counting from the start, so a long line is cut into overlapping pieces first.
-    """
-    count = F.greatest(F.length(line) - (size - 1), F.lit(1))
-    hashed = lambda t, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(t, i, size)))
-    pieces = F.transform(F.sequence(F.lit(0), ((count - 1) / PIECE).cast("int")), lambda p: F.substring(line, p * PIECE + 1, PIECE + size - 1))
-    long = F.flatten(F.transform(pieces, lambda t: hashed(t, F.greatest(F.length(t) - (size - 1), F.lit(1)))))
-    return F.sort_array(F.array_distinct(F.when(count <= PIECE, hashed(line, count)).otherwise(long)))
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): the lines of every text, by line feeds, from 0; null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+def places(code: Column) -> Column:
+    """The numbers of the characters at which a shingle of a coded line starts; 0 for a shorter line, which is one shingle."""
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(code), 2) - SHINGLE, F.lit(0)))
 
-def signature(s: Column) -> Column:
-    """The hashes of an ascending array that are the first with their four leading bits."""
-    return F.filter(s, lambda x, i: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), 60), F.lit(1)) != 0)
 
+def shingle(code: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(code, place * 4 + 1, F.lit(4 * SHINGLE)))
 
-def bands(sig: Column, count: int = BANDS) -> Column:
-    """A hash for each three leading bits among the first 2 * count of a signature: of the one or two hashes with them."""
-    def key(x: Column, i: Column) -> Column:
-        before, behind = F.get(sig, i - 1), F.get(sig, i + 1)
-        same = lambda y: F.shiftrightunsigned(x.bitwiseXOR(y), 61) == 0
-        return F.when(same(before), None).when(same(behind), F.xxhash64(x, behind)).otherwise(F.xxhash64(x))
 
-    return F.array_compact(F.transform(F.slice(sig, 1, 2 * count), key))
+def shingles(line: Column) -> Column:
+    """Distinct hashes of the shingles at each character of a line."""
+    return F.array_distinct(F.transform(places(coded(line)), lambda i: shingle(coded(line), i)))
 
 
-def alike(n: Column, m: Column) -> Column:
-    """Whether two numbers of shingles alone leave the threshold possible."""
-    return F.least(n, m) >= THRESHOLD * F.greatest(n, m) - 1e-9
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): the lines of every text, by line feeds, from 0; null text has none."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def near_pairs(keyed: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b), a < b: lines of a key with each other; in a key of more than ``near`` + 1 lines each with the one before it.
+def bands(once: DataFrame) -> DataFrame:
+    """(id, c, keys): of every distinct line its number of places and a key for each band that holds a shingle.
 
-    Pairs whose numbers of shingles alone rule the threshold out are left out.
+    Lines are taken apart into shingles and grouped again as rows of numbers, which Spark compiles into one loop.
     """
-    by = Window.partitionBy("key").orderBy("id")
-    before = keyed.withColumn("large", F.count("*").over(Window.partitionBy("key")) > near + 1)
-    before = before.select("id", "n", "large", *(F.lag(F.struct("id", "n"), k).over(by).alias(f"l{k}") for k in range(1, near + 1))).where("l1 IS NOT NULL")
-    others = F.when(F.col("large"), F.array("l1")).otherwise(F.array_compact(F.array(*(f"l{k}" for k in range(1, near + 1)))))
-    pairs = before.select("id", "n", F.explode(others).alias("o")).where((F.col("o.id") != F.col("id")) & alike(F.col("n"), F.col("o.n")))
-    return pairs.select(F.col("o.id").alias("a"), F.col("id").alias("b"))
+    ranges = 2 * BANDS
+    code = once.select("id", coded(F.col("t")).alias("code"))
+    each = code.select("id", "code", F.explode(places(F.col("code"))).alias("i")).select("id", "i", shingle(F.col("code"), F.col("i")).alias("h"))
+    each = each.withColumn("r", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * ranges, 32))
+    least = each.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("c"), *(F.min(F.when(F.col("r") == k, F.col("h"))).alias(f"m{k}") for k in range(ranges)))
+    key = lambda k: F.when(F.coalesce(f"m{2 * k}", f"m{2 * k + 1}").isNotNull(), F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}"))
+    return least.select("id", "c", F.array_compact(F.array(*(key(k) for k in range(BANDS)))).alias("keys"))
 
 
-def candidates(once: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to verify of the rows (id, n, keys), and the rows (key, id, n) of crowded keys, for ``crowded_links``.
+def shared_bands(once: DataFrame) -> DataFrame:
+    """(key, id, m, lo, hi): the lines of bands that hold several, with their number and two of them. Written once.
 
-    Most keys occur once; they are sieved out before the pairing.
+    Most keys occur once; they are sieved out before the join.
     """
-    keyed = once.select("id", "n", F.explode("keys").alias("key"))
-    repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    shared = cut(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("id", "n", "key"))
-    crowd = shared.join(repeated.where(F.col("m") > near + 1), "key", "left_semi")
-    return near_pairs(shared, near).distinct(), cut(crowd.select("key", "id", "n").distinct())
+    keyed = once.select("id", F.explode("keys").alias("key"))
+    repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1"))
+    return cut(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"))
+
 
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: every line of a band with the band's smallest and largest."""
+    ends = F.explode(F.array(*(F.struct(F.least("id", e).alias("a"), F.greatest("id", e).alias("b")) for e in ("lo", "hi"))))
+    return shared.select(ends.alias("p")).select("p.a", "p.b").where("a < b").distinct()
 
-def placed(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, n, root): the rows of keys whose lines are not all of one component; written once."""
-    rows = crowd.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return cut(rows.join(open_keys, "key", "left_semi"))
 
+def still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of bands whose lines are not all of one component, with their component as root. Written once."""
+    rows = shared.where("m > 3").join(roots, "id", "left").select("key", "id", "m", "lo", "hi", F.coalesce("root", "id").alias("root"))
+    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return cut(rows.join(several, "key", "left_semi"))
 
-def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: the lines outside the largest component of each key with one of its lines, another in each turn."""
-    size = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("p"))
-    main = size.groupBy("key").agg(F.max_by(F.struct("root", "p"), F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"), F.col("m.p.id").alias("p"), F.col("m.p.n").alias("pn"))
-    pairs = rows.join(main, "key").where((F.col("root") != F.col("main")) & alike(F.col("n"), F.col("pn")))
-    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: lines of different components in bands of up to SMALL lines, but for those met by ``star_pairs``."""
+    few = rows.where((F.col("m") <= SMALL) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))).select("key", "id", "root")
+    return few.alias("l").join(few.alias("r"), "key").where("l.id < r.id AND l.root <> r.root").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: of the lines (id, n, root) with ``texts``, all pairs in different components that can be at the threshold.
+    """(a, b), a < b: of the lines (id, root) with ``texts``, all pairs in different components that can be at the threshold.
 
     Two such lines share one of the (1 - threshold) * n + 1 rarest shingles of each. A token's lines of its largest
     component are met by the others only; lines of a token are dealt to salts on one side and repeated on the other.
     """
-    lines_ = cut(rows.select("id", "n", "root").distinct())
-    tokens = lines_.join(texts, "id").select("id", "n", "root", F.explode(shingles(F.col("t"))).alias("x"))
+    sets = cut(rows.select("id", "root").distinct().join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s")))
+    tokens = sets.select("id", "root", F.size("s").alias("n"), F.explode("s").alias("x"))
     often = tokens.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
     # a shingle met once is in no pair, but takes its place among the rarest
     ranked = tokens.join(often, "x", "left").withColumn("f", F.coalesce("f", F.lit(1)))
@@ -130,22 +115,11 @@ def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
     held = prefix.join(token, "x")
     left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     right = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    met = left.alias("l").join(right.alias("r"), ["x", "salt"]).where((F.col("l.root") != F.col("r.root")) & alike(F.col("l.n"), F.col("r.n")))
+    close = F.least("l.n", "r.n") >= THRESHOLD * F.greatest("l.n", "r.n") - 1e-9
+    met = left.alias("l").join(right.alias("r"), ["x", "salt"]).where((F.col("l.root") != F.col("r.root")) & close)
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
-def crowded_links(texts: DataFrame, crowd: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``links`` with those that unite components of the crowded keys: pivots first, and what they leave by an exact join."""
-    for turn in range(TURNS):
-        rows = placed(crowd, components(links))
-        if rows.isEmpty():
-            return links
-        found = cut(similar(texts, cut(pivot_pairs(rows, turn)), threshold))
-        links = cut(links.union(found))
-    rows = placed(crowd, components(links))
-    return links if rows.isEmpty() else cut(links.union(similar(texts, cut(prefix_pairs(texts, rows)), threshold)))
-
-
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, t): the lines in the one column of ``wanted``; written once. Their shingles take many times their room."""
     found = lines(docs).select(tidy(F.col("line")).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("id"), "t")
@@ -162,26 +136,22 @@ def similar(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
     return sets.where(F.size(F.array_intersect(x, y)) >= threshold / (1 + threshold) * (F.size(x) + F.size(y)) - 1e-9).select("a", "b")
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id, n, k0, k1, ..) of every line: hash, number of shingles and band keys; null for blank lines. Written once.
+def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, root): for the hash of every line (id, keys) that has a near duplicate, the smallest hash of its component.
 
-    The keys are columns, as Spark hashes groups of numbers but sorts groups that hold arrays.
+    All pairs of lines that share a band are settled: compared, or found in one component through others.
     """
-    found = lines(docs).select("doc_id", "line_no", F.nullif(tidy(F.col("line")), F.lit("")).alias("t"))
-    sets = found.select("doc_id", "line_no", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("id"), shingles(F.col("t")).alias("s"))
-    keyed = sets.select("doc_id", "line_no", "id", F.size("s").alias("n"), signature(F.col("s")).alias("s"))
-    keyed = keyed.select("doc_id", "line_no", "id", "n", bands(F.col("s")).alias("k"))
-    return stored(keyed.select("doc_id", "line_no", "id", "n", *(F.get("k", F.lit(i)).alias(f"k{i}") for i in range(MOST_KEYS))))
-
-
-def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root): for the hash of every line that has a near duplicate, the smallest hash of its component."""
-    pairs, crowd = candidates(once)
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct())
-    texts = texts_of(docs, wanted)
-    links = cut(similar(texts, pairs, threshold))
-    return components(crowded_links(texts, crowd, links, threshold))
+    shared = shared_bands(once)
+    texts = texts_of(docs, shared.select("id").distinct())
+    links = cut(similar(texts, star_pairs(shared), threshold))
+    roots = components(links)
+    rows = still_open(shared, roots)
+    if rows.isEmpty():
+        return roots
+    large = rows.where(F.col("m") > SMALL)
+    pairs = small_pairs(rows) if large.isEmpty() else small_pairs(rows).union(prefix_pairs(texts, large)).distinct()
+    found = cut(similar(texts, pairs, threshold))
+    return roots if found.isEmpty() else components(links.union(found))
 
 
 def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,13 +162,13 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null text has no lines, an empty table gives none. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = sketched(docs)
-    names = ["n", *(f"k{i}" for i in range(MOST_KEYS))]
-    once = cut(every.where("id IS NOT NULL").groupBy("id").agg(*(F.first(c).alias(c) for c in names), F.count("*").alias("c")))
-    keys = F.array_compact(F.array(*names[1:]))
-    roots = line_classes(docs, once.select("id", "n", keys.alias("keys")), threshold)
+    found = lines(docs).select("doc_id", "line_no", F.nullif(tidy(F.col("line")), F.lit("")).alias("t"))
+    named = found.select("doc_id", "line_no", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("id"), "t")
+    once = stored(bands(named.where("id IS NOT NULL")))
+    roots = line_classes(docs, once, threshold)
+    every = stored(named.drop("t"))
     # lines that occur once and have no near duplicate stay; the others are gathered by class
-    every = maybe_in(every.select("doc_id", "line_no", "id"), "id", once.where("c > 1").select("id").union(roots.select("id")))
+    every = maybe_in(every, "id", once.where("c > 1").select("id").union(roots.select("id")))
     alone = every.where("NOT _maybe").select("doc_id", "line_no", F.col("id").alias("line_class"), F.lit(True).alias("kept"))
     salted = every.where("_maybe").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)).cast("int"))
     dealt = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
