@@ -17,9 +17,11 @@ from .components import components
 #: Characters of a shingle, bands of two ranges (a line at the threshold shares one with probability
 #: 1 - (1 - 0.8^2)^6 = 0.998), and the similarity from which lines are the same.
 SHINGLE, BANDS, THRESHOLD = 9, 6, 0.8
+#: Ranges in which two lines must agree to be compared: at the threshold fewer of 12 agree with probability 0.0006.
+AGREE = 5
 #: The lines of a band are compared with two of them; where that leaves several components, those of a band of up to
 #: SMALL lines are paired in full and those of larger ones by an exact join on rare shingles.
-SMALL = 8
+SMALL = 64
 #: Parts into which the lines of one hash are dealt when classes are joined to them.
 SALTS = 16
 
@@ -45,26 +47,37 @@ def shingle(code: Column, place: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of the shingles at each character of a line."""
-    return F.array_distinct(F.transform(places(coded(line)), lambda i: shingle(coded(line), i)))
+    # as the variable of a lambda, the code is formed once and not copied for each shingle
+    hashed = F.transform(F.array(coded(line)), lambda code: F.transform(places(code), lambda i: shingle(code, i)))
+    return F.array_distinct(F.get(hashed, F.lit(0)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): the lines of every text, by line feeds, from 0; null text has none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # the outer form, as Spark would split once more to leave empty arrays out
+    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where("line IS NOT NULL")
 
 
-def bands(once: DataFrame) -> DataFrame:
-    """(id, c, keys): of every distinct line its number of places and a key for each band that holds a shingle.
+def signatures(once: DataFrame) -> DataFrame:
+    """(id, c, sig): of every distinct line of (id, t) its number of places and the smallest hash in each range, null where none is.
 
     Lines are taken apart into shingles and grouped again as rows of numbers, which Spark compiles into one loop.
     """
     ranges = 2 * BANDS
     code = once.select("id", coded(F.col("t")).alias("code"))
-    each = code.select("id", "code", F.explode(places(F.col("code"))).alias("i")).select("id", "i", shingle(F.col("code"), F.col("i")).alias("h"))
+    each = code.select("id", "code", F.explode_outer(places(F.col("code"))).alias("i")).select("id", "i", shingle(F.col("code"), F.col("i")).alias("h"))
     each = each.withColumn("r", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * ranges, 32))
     least = each.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("c"), *(F.min(F.when(F.col("r") == k, F.col("h"))).alias(f"m{k}") for k in range(ranges)))
-    key = lambda k: F.when(F.coalesce(f"m{2 * k}", f"m{2 * k + 1}").isNotNull(), F.xxhash64(F.lit(k), f"m{2 * k}", f"m{2 * k + 1}"))
-    return least.select("id", "c", F.array_compact(F.array(*(key(k) for k in range(BANDS)))).alias("keys"))
+    return least.select("id", "c", F.array(*(f"m{k}" for k in range(ranges))).alias("sig"))
+
+
+def band_keys(sig: Column) -> Column:
+    """A key for each band that holds a shingle."""
+    def key(k: int) -> Column:
+        one, two = F.get(sig, F.lit(2 * k)), F.get(sig, F.lit(2 * k + 1))
+        return F.when(F.coalesce(one, two).isNotNull(), F.xxhash64(F.lit(k), one, two))
+
+    return F.array_compact(F.array(*(key(k) for k in range(BANDS))))
 
 
 def shared_bands(once: DataFrame) -> DataFrame:
@@ -72,7 +85,7 @@ def shared_bands(once: DataFrame) -> DataFrame:
 
     Most keys occur once; they are sieved out before the join.
     """
-    keyed = once.select("id", F.explode("keys").alias("key"))
+    keyed = once.select("id", F.explode_outer(band_keys(F.col("sig"))).alias("key"))
     repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1"))
     return cut(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"))
 
@@ -99,20 +112,23 @@ def small_pairs(rows: DataFrame) -> DataFrame:
 def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b), a < b: of the lines (id, root) with ``texts``, all pairs in different components that can be at the threshold.
 
-    Two such lines share one of the (1 - threshold) * n + 1 rarest shingles of each. A token's lines of its largest
-    component are met by the others only; lines of a token are dealt to salts on one side and repeated on the other.
+    Put the shingles of both in one order: two such lines share one of the first (1 - threshold) * n + 1 of each. First
+    come shingles not found twice in an eighth of the lines, as far as a filter tells, so that few lines share them. A
+    token's lines of its largest component are met by the others only; lines of a token are dealt to salts on one side
+    and repeated on the other.
     """
-    sets = cut(rows.select("id", "root").distinct().join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s")))
-    tokens = sets.select("id", "root", F.size("s").alias("n"), F.explode("s").alias("x"))
-    often = tokens.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
-    # a shingle met once is in no pair, but takes its place among the rarest
-    ranked = tokens.join(often, "x", "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    kept = ranked.groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("t"))
+    lines_ = cut(rows.select("id", "root").distinct())
+    sets = lines_.join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
+    eighth = sets.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select(F.explode_outer("s").alias("x"))
+    often = cut(eighth.groupBy("x").agg(F.count("*").alias("f")).where("f > 1").select("x"))
+    tokens = maybe_in(sets.select("id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("x")), "x", often)
+    parts = [F.sort_array(F.collect_list(F.when(c, F.col("x")))) for c in (~F.col("_maybe"), F.col("_maybe"))]
     length = F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9).cast("int") + 1
-    prefix = cut(kept.select("id", "n", "root", F.explode(F.filter(F.slice("t", F.lit(1), length), lambda t: t["f"] > 1)).alias("t")).select("id", "n", "root", F.col("t.x").alias("x")))
+    kept = tokens.groupBy("id", "root", "n").agg(F.concat(*parts).alias("t"))
+    prefix = cut(kept.select("id", "n", "root", F.explode(F.slice("t", F.lit(1), length)).alias("x")))
     each = prefix.groupBy("x", "root").agg(F.count("*").alias("c"))
-    token = each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    held = prefix.join(token, "x")
+    token = cut(each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    held = maybe_in(prefix, "x", token.select("x")).where("_maybe").drop("_maybe").join(token, "x")
     left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     right = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     close = F.least("l.n", "r.n") >= THRESHOLD * F.greatest("l.n", "r.n") - 1e-9
@@ -120,6 +136,13 @@ def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures (id, sig) agree in AGREE ranges at least."""
+    one, two = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    same = sum((F.get("x", F.lit(k)).eqNullSafe(F.get("y", F.lit(k))).cast("int") for k in range(2 * BANDS)), F.lit(0))
+    return pairs.join(one, "a").join(two, "b").where(same >= AGREE).select("a", "b")
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, t): the lines in the one column of ``wanted``; written once. Their shingles take many times their room."""
     found = lines(docs).select(tidy(F.col("line")).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("id"), "t")
@@ -137,20 +160,22 @@ def similar(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root): for the hash of every line (id, keys) that has a near duplicate, the smallest hash of its component.
+    """(id, root): for the hash of every line (id, sig) that has a near duplicate, the smallest hash of its component.
 
     All pairs of lines that share a band are settled: compared, or found in one component through others.
     """
     shared = shared_bands(once)
-    texts = texts_of(docs, shared.select("id").distinct())
-    links = cut(similar(texts, star_pairs(shared), threshold))
+    wanted = cut(shared.select("id").distinct())
+    texts = texts_of(docs, wanted)
+    sigs = cut(maybe_in(once, "id", wanted).where("_maybe").select("id", "sig"))
+    links = cut(similar(texts, promising(star_pairs(shared), sigs), threshold))
     roots = components(links)
     rows = still_open(shared, roots)
     if rows.isEmpty():
         return roots
     large = rows.where(F.col("m") > SMALL)
     pairs = small_pairs(rows) if large.isEmpty() else small_pairs(rows).union(prefix_pairs(texts, large)).distinct()
-    found = cut(similar(texts, pairs, threshold))
+    found = cut(similar(texts, promising(pairs, sigs), threshold))
     return roots if found.isEmpty() else components(links.union(found))
 
 
@@ -164,7 +189,7 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = lines(docs).select("doc_id", "line_no", F.nullif(tidy(F.col("line")), F.lit("")).alias("t"))
     named = found.select("doc_id", "line_no", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("id"), "t")
-    once = stored(bands(named.where("id IS NOT NULL")))
+    once = stored(signatures(named.where("id IS NOT NULL")))
     roots = line_classes(docs, once, threshold)
     every = stored(named.drop("t"))
     # lines that occur once and have no near duplicate stay; the others are gathered by class
