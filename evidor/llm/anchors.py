@@ -11,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .common import cut, maybe_in
 
 _BITS = 24
 _LOW = W.U((1 << _BITS) - 1)
 
-#: key: hash of the anchor; span: hash of the run's content and the anchor's place; a, b: its first and last window
-#: start; last: b, or the last window start of the equal runs that follow it without a gap.
-RUNS = "key long, span long, doc_id long, a long, b long, last long"
+#: key: hash of the anchor; span: hash, by another base, of the run's content and the anchor's place; txt: hash of the
+#: document's text, which tells rows with one doc_id apart; a, b: the run's first and last window start; last: b, or the
+#: last window start of the equal runs that follow it without a gap.
+RUNS = "key long, span long, a long, b long, last long, doc_id long, txt long"
 
 
 def starts_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,8 +33,8 @@ def starts_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][row]
 
 
-def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, key, span, a, b, last) of every run, with positions counted over all rows."""
+def runs(values: W.Prefix, others: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, key, span, a, b, last) of every run, with positions counted over all rows; span is hashed from ``others``."""
     h = values.windows(gram)
     row, start = starts_of(first, window)
     if not len(start):
@@ -52,7 +54,7 @@ def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[n
     place = at[start]
     head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     a, b, place = start[head], start[np.r_[head[1:], len(start)] - 1], place[head]
-    span = W.mix(values.spans(a, b + window) + (place - a).astype(W.U) * W.U(0xD6E8FEB86659FD93))
+    span = W.mix(others.spans(a, b + window) + (place - a).astype(W.U) * W.U(0xD6E8FEB86659FD93))
     row, key = row[head], h[place]
     if len(row) > 1:
         same = (key[1:] == key[:-1]) & (span[1:] == span[:-1]) & (row[1:] == row[:-1])
@@ -61,28 +63,46 @@ def runs(values: W.Prefix, first: np.ndarray, window: int, gram: int) -> tuple[n
     return row, key, span, a, b, b
 
 
-def resolve(found: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Columns of RUNS with new, again, open, own and head, by one sort of new and historical runs by anchor.
+def classes_of(found: DataFrame) -> DataFrame:
+    """One row a class: key, span, n runs, and the first document with one of its runs there."""
+    return found.groupBy("key", "span").agg(F.count("*").alias("n"), *(F.min_by(c, "doc_id").alias(c) for c in ("a", "b", "last")), F.min("doc_id").alias("doc_id"), F.min_by("txt", "doc_id").alias("txt"))
 
-    again: an earlier document has a run of the same class, so all its windows repeat. head: the first of its class.
-    open: the first of its class while the anchor has other classes, one of them new: its windows are to be compared.
-    own: the same for every run of the class in the document of its first, as each of them may repeat an earlier one.
+
+def judge(classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(key, span, first, m, fresh): the classes of anchors with several runs, here or in ``known``. Written once.
+
+    first: the first document of the class; m: the classes of the anchor; fresh: one of several has no run in ``known``.
+    All of it is grouped with partial sums, so that a run that a third of all documents hold is no task's burden.
     """
-    rows = found.withColumn("new", F.lit(True))
-    if history is not None:
-        rows = rows.unionByName(history.select(*found.columns).withColumn("new", F.lit(False)))
-    rows = rows.repartition("key")
-    same, anchor = Window.partitionBy("key", "span"), Window.partitionBy("key")
-    rows = rows.withColumn("first", F.min("doc_id").over(same)).withColumn("n", F.row_number().over(same.orderBy("doc_id", "a")))
-    rows = rows.withColumn("head", F.col("n") == 1)
-    rows = rows.withColumn("many", F.min("span").over(anchor) != F.max("span").over(anchor)).withColumn("fresh", F.max(F.col("new") & F.col("head")).over(anchor))
-    return rows.select(*found.columns, "new", "head", (F.col("first") < F.col("doc_id")).alias("again"), (F.col("head") & F.col("many") & F.col("fresh")).alias("open"), ((F.col("first") == F.col("doc_id")) & F.col("many") & F.col("fresh")).alias("own"))
-
-
-def emit(ids: pa.Array, rows: np.ndarray, lo: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A batch of doc_id, taken by row, and the given 64-bit columns."""
-    taken = ids.take(pa.array(rows + lo))
-    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == W.U else v.astype(np.int64)) for v in columns.values()] + [taken], names=[*columns, "doc_id"])
+    keys = classes.groupBy("key").agg(F.sum("n").alias("n"))
+    if known is not None:
+        keys = keys.join(known.select("key").distinct().withColumn("past", F.lit(True)), "key", "left").where("n > 1 OR past")
+    else:
+        keys = keys.where("n > 1")
+    keys = cut(keys.select("key"))
+    every = likely(classes, keys).select("key", "span", "doc_id", F.lit(True).alias("new"))
+    if known is not None:
+        every = every.union(known.select("key", "span", "doc_id", F.lit(False)))
+    each = cut(every.groupBy("key", "span").agg(F.min("doc_id").alias("first"), F.min("new").alias("unseen")))
+    anchors = each.groupBy("key").agg(F.count("*").alias("m"), F.max("unseen").alias("any"))
+    return cut(each.join(anchors, "key").select("key", "span", "first", "m", (F.col("any") & (F.col("m") > 1)).alias("fresh")))
+
+
+def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not in the one column of ``keys``."""
+    return maybe_in(rows, "key", keys).where("_maybe").select(*rows.columns)
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """doc_id, txt, text of the documents that have an id."""
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("txt"), "text")
+
+
+def emit(batch: pa.RecordBatch, rows: np.ndarray, lo: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A batch of the given 64-bit columns with doc_id and txt, taken by row."""
+    rows = pa.array(rows + lo)
+    arrays = [pa.array(v.view(np.int64) if v.dtype == W.U else v.astype(np.int64)) for v in columns.values()]
+    return pa.RecordBatch.from_arrays([*arrays, batch.column(0).take(rows), batch.column(1).take(rows)], names=[*columns, "doc_id", "txt"])
 
 
 def merged(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

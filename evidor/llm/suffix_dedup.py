@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .anchors import RUNS, emit, merged, runs
+from .anchors import RUNS, classes_of, emit, judge, likely, merged, runs, with_hash
 from .common import cut, fair_batches, maybe_in, stored
 
 #: Bytes of a window and of the n-gram that anchors it; depth in bytes of the quicksort.
 WINDOW, GRAM, SHALLOW = 100, 20, 24
+#: Classes of an anchor beyond which its windows are dealt one by one.
+HOT = 1000
 
 
 class BlindTrie:
@@ -70,19 +72,59 @@ class BlindTrie:
                 stack += [node[1][c] for c in sorted(node[1], reverse=True)]
 
 
+def multikey_quicksort(word, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): 0..n-1 sorted by ``word(numbers, d)``, d < depth, and where strings with other words begin.
+
+    All segments are split at once: each at its middle element into less, equal and greater, of which the equal part
+    goes on with the next word. A segment is done when it has one element or no word left.
+    """
+    order, level, begins = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
+    begins[:1] = True
+    active = np.arange(n)
+    while len(active):
+        start = np.flatnonzero(np.r_[True, begins[active[1:]] | (active[1:] != active[:-1] + 1)])
+        size = np.diff(np.r_[start, len(active)])
+        live = (size > 1) & (level[active[start]] < depth)
+        keep = np.repeat(live, size)
+        active, size = active[keep], size[live]
+        if not len(active):
+            break
+        start = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(size)), size)
+        numbers, d = order[active], level[active]
+        key = word(numbers, d)
+        pivot = key[start + size // 2][own]
+        side = (key > pivot).astype(np.int8) - (key < pivot)
+        at = start[own]
+        place = np.empty(len(active), np.int64)
+        filled = np.zeros(len(size), np.int64)
+        heads = np.zeros(len(active), bool)
+        for s in (-1, 0, 1):
+            mine = side == s
+            before = np.cumsum(mine) - mine
+            rank = before - before[start][own]
+            place[mine] = (at + filled[own] + rank)[mine]
+            many = np.add.reduceat(mine, start, dtype=np.int64)
+            heads[(start + filled)[many > 0]] = True
+            filled += many
+        order[active[place]] = numbers
+        level[active[place]] = d + (side == 0)
+        begins[active] = heads
+    return order, begins
+
+
 def deep_shallow(text: bytes, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
     """Numbers of ``starts`` in the order of the ``depth``-byte strings there, equal strings together."""
-    data = np.frombuffer(text + bytes(8), np.uint8)
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    for at in range(0, shallow, 8):
-        word = np.zeros(len(order), np.uint64)
+    data = np.frombuffer(text + bytes(8), np.uint8).astype(W.U)
+
+    def word(numbers: np.ndarray, d: np.ndarray) -> np.ndarray:
+        at, found = starts[numbers] + 8 * d, np.zeros(len(numbers), W.U)
         for i in range(8):
-            word = (word << W.U(8)) | data[starts[order] + at + i]
-        step = np.lexsort((word, group))
-        order, group, word = order[step], group[step], word[step]
-        group = np.cumsum(np.r_[0, (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
-    bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            found = (found << W.U(8)) | data[at + i]
+        return found
+
+    order, begins = multikey_quicksort(word, len(starts), shallow // 8)
+    bounds = np.flatnonzero(np.r_[begins, True])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         part = order[a:b]
         if b - a == 1:
@@ -109,74 +151,90 @@ def byte_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     """The anchor runs of every text's bytes, with positions counted in each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in W.chunks(batch.column(1)):
-                row, key, span, a, b, last = runs(W.Prefix(data), offsets, window, gram)
-                yield emit(batch.column(0), row, lo, {"key": key, "span": span, "a": a - offsets[row], "b": b - offsets[row], "last": last - offsets[row]}).select(["key", "span", "doc_id", "a", "b", "last"])
+            for lo, hi, data, offsets in W.chunks(batch.column(2)):
+                row, key, span, a, b, last = runs(W.Prefix(data), W.Prefix(data, 1), offsets, window, gram)
+                yield emit(batch, row, lo, {"key": key, "span": span, "a": a - offsets[row], "b": b - offsets[row], "last": last - offsets[row]})
 
-    return docs.select("doc_id", "text").mapInArrow(run, RUNS)
+    return with_hash(docs).mapInArrow(run, RUNS)
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(key, doc_id, a, b, last, again, many): runs whose class has an earlier run, first ones of a class beside others, and runs that repeat."""
-    rows = found.repartition("key")
-    same, anchor = Window.partitionBy("key", "span").orderBy("doc_id", "a"), Window.partitionBy("key")
-    rows = rows.withColumn("again", F.row_number().over(same) > 1)
-    rows = rows.withColumn("many", F.min("span").over(anchor) != F.max("span").over(anchor))
-    return rows.where("again OR many OR last > b").select("key", "doc_id", "a", "b", "last", "again", "many")
+    """(key, doc_id, txt, a, b, last, again, m): runs of anchors that occur more than once; again: the class has an earlier run."""
+    classes = judge(classes_of(found))
+    rows = likely(found, classes.select("key")).join(classes, ["key", "span"])
+    # rows that repeat an id and its text share their rank
+    inside = F.rank().over(Window.partitionBy("key", "span", "doc_id").orderBy("txt", "a")) > 1
+    later = rows.where("first < doc_id").withColumn("again", F.lit(True))
+    return later.unionByName(rows.where("first = doc_id").withColumn("again", inside)).select("key", "doc_id", "txt", "a", "b", "last", "again", "m")
 
 
 def fragments(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, doc_id, a, piece): the bytes under the windows a..b of each run."""
-    wanted = cut(opened.groupBy("doc_id").agg(F.collect_list(F.struct("key", "a", "b")).alias("runs")))
-    texts = maybe_in(docs, "doc_id", wanted.select("doc_id")).where("_maybe").join(wanted, "doc_id").select("doc_id", "text", "runs")
+    """(key, part, doc_id, txt, a, piece): the bytes under the windows a..b of each run; part is 0.
+
+    Of an anchor with more than HOT classes each window is a piece of its own, and part is a hash of its ends, so that
+    only windows that may be equal stay together.
+    """
+    wanted = cut(opened.groupBy("doc_id", "txt").agg(F.collect_set(F.struct("key", "a", "b", (F.col("m") > HOT).alias("hot"))).alias("runs")))
+    texts = maybe_in(with_hash(docs), "doc_id", wanted.select("doc_id")).where("_maybe").join(wanted, ["doc_id", "txt"]).select("doc_id", "txt", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, spans in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)):
-                text = text.as_py() or b""
-                rows = [(s["key"], s["a"], text[s["a"]:s["b"] + window]) for s in spans.as_py() if s["b"] + window <= len(text)]
-                if rows:
-                    key, a, piece = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([doc.as_py()] * len(rows), pa.int64()), pa.array(a, pa.int64()), pa.array(piece, pa.binary())], names=["key", "doc_id", "a", "piece"])
-
-    return texts.mapInArrow(run, "key long, doc_id long, a long, piece binary")
+            for doc, txt, text, spans in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.large_binary()), batch.column(3)):
+                text, rows = text.as_py() or b"", []
+                for s in spans.as_py():
+                    if s["hot"]:
+                        for a in range(s["a"], s["b"] + 1):
+                            piece = text[a:a + window]
+                            rows.append((s["key"], int.from_bytes(piece[:4] + piece[-4:], "little", signed=True), a, piece))
+                    else:
+                        rows.append((s["key"], 0, s["a"], text[s["a"]:s["b"] + window]))
+                for lo in range(0, len(rows), 4096):
+                    key, part, a, piece = zip(*rows[lo:lo + 4096])
+                    n = len(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array([doc.as_py()] * n, pa.int64()), pa.array([txt.as_py()] * n, pa.int64()), pa.array(a, pa.int64()), pa.array(piece, pa.binary())], names=["key", "part", "doc_id", "txt", "a", "piece"])
+
+    return texts.mapInArrow(run, "key long, part long, doc_id long, txt long, a long, piece binary")
 
 
 def sorted_repeats(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, a, b): byte ranges of windows that equal an earlier one, by sorting the suffixes of the pieces of each anchor."""
-    def flush(key: list, doc: list, at: list, piece: list) -> pa.RecordBatch:
+    """(doc_id, txt, a, b): byte ranges of windows that equal an earlier one, by sorting the suffixes of the pieces of each anchor."""
+    def flush(key: list, part: list, doc: list, txt: list, at: list, piece: list) -> pa.RecordBatch:
         count = np.array([len(p) - window + 1 for p in piece])
         base = np.cumsum([0, *map(len, piece)])[:-1]
         row = np.repeat(np.arange(len(piece)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         text, starts = b"".join(piece), base[row] + inner
-        doc_id, place = np.array(doc)[row], np.array(at)[row] + inner
+        doc_id, txt, place = np.array(doc)[row], np.array(txt)[row], np.array(at)[row] + inner
+        order = np.empty(len(row), np.int64)
+        order[np.lexsort((place, txt, doc_id))] = np.arange(len(row))
         out = []
         for numbers in deep_shallow(text, starts, window):
             if len(numbers) > 1:
-                first = min(numbers.tolist(), key=lambda i: (doc_id[i], place[i]))
-                out += [i for i in numbers.tolist() if (doc_id[i], place[i]) != (doc_id[first], place[first])]
-        out = np.array(sorted(out, key=lambda i: (doc_id[i], place[i])), int)
-        d, p = doc_id[out], place[out]
-        head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])[:len(d)]
+                first = numbers[order[numbers].argmin()]
+                same = (doc_id[numbers] == doc_id[first]) & (txt[numbers] == txt[first]) & (place[numbers] == place[first])
+                out.append(numbers[~same])
+        out = np.concatenate(out) if out else np.zeros(0, np.int64)
+        out = out[np.argsort(order[out])]
+        d, t, p = doc_id[out], txt[out], place[out]
+        head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])[:len(d)]
         tail = np.r_[head[1:], len(d)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(d[head], pa.int64()), pa.array(p[head], pa.int64()), pa.array(p[tail] + window if len(d) else p, pa.int64())], names=["doc_id", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(d[head], pa.int64()), pa.array(t[head], pa.int64()), pa.array(p[head], pa.int64()), pa.array(p[tail] + window if len(d) else p, pa.int64())], names=["doc_id", "txt", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         held = 0
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
-                if held > 1 << 18 and values[0] != rows[0][-1]:
+                if held > 1 << 18 and (values[0] != rows[0][-1] or values[1] != rows[1][-1]):
                     yield flush(*rows)
-                    rows, held = [[], [], [], []], 0
+                    rows, held = [[], [], [], [], [], []], 0
                 for column, value in zip(rows, values):
                     column.append(value)
-                held += len(values[3])
+                held += len(values[5])
         if rows[0]:
             yield flush(*rows)
 
-    return pieces.repartition("key").sortWithinPartitions("key", "doc_id", "a").mapInArrow(run, "doc_id long, a long, b long")
+    return pieces.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "a").mapInArrow(run, "doc_id long, txt long, a long, b long")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -184,18 +242,19 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A string of ``window`` bytes is earlier by doc_id, or by its place in the same document; all are judged on the
     input. Null text is empty. A null doc_id has no order: its text is kept whole and removes nothing. Rows that
-    repeat an id are cut alike, by the ranges found for the id: such tables should be made unique first. An empty
-    table gives no rows. Other columns are not carried.
+    repeat an id with another text stand in the order of their texts' hashes; rows that repeat id and text are one
+    document and come out alike. An empty table gives no rows. Other columns are not carried.
     """
     fair_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    judged = stored(repeats(byte_runs(docs.where("doc_id IS NOT NULL"), window)), "judged")
-    again = judged.where("again").select("doc_id", "a", (F.col("b") + window).alias("b"))
-    close = judged.where("last > b").select("doc_id", (F.col("b") + 1).alias("a"), (F.col("last") + window).alias("b"))
-    sorted_out = sorted_repeats(fragments(docs, judged.where("many AND NOT again"), window), window)
-    ranges = cut(again.unionByName(close).unionByName(sorted_out).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
-    flagged = maybe_in(docs, "doc_id", ranges.select("doc_id"))
-    some = flagged.where("_maybe").select("doc_id", "text").join(ranges, "doc_id", "left")
+    found = stored(byte_runs(docs, window), "found")
+    judged = stored(repeats(found), "judged")
+    again = judged.where("again").select("doc_id", "txt", "a", (F.col("b") + window).alias("b"))
+    close = found.where("last > b").select("doc_id", "txt", (F.col("b") + 1).alias("a"), (F.col("last") + window).alias("b"))
+    sorted_out = sorted_repeats(fragments(docs, judged.where("m > 1 AND NOT again"), window), window)
+    ranges = cut(again.union(close).union(sorted_out).groupBy("doc_id", "txt").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    flagged = maybe_in(docs.select("doc_id", F.xxhash64("text").alias("txt"), "text"), "doc_id", ranges.select("doc_id"))
+    some = flagged.where("_maybe").join(ranges, ["doc_id", "txt"], "left").select("doc_id", "text", "ranges")
     every = flagged.where("NOT _maybe").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")).unionByName(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,10 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: The modulus of polynomial hashes, a Mersenne prime, and the two independent bases.
+PRIME = (1 << 61) - 1
+BASES = (0x1A5F29C3D8E6B471, 0x0B7D43F86C21E59D)
+_P, _LOW32, _LOW29 = U(PRIME), U(0xFFFFFFFF), U((1 << 29) - 1)
 
 
 def table_of(chars: bytes) -> np.ndarray:
@@ -33,33 +35,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int, _have: dict = {}) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if not _have or len(_have["up"]) < n:
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME, modulo PRIME, from halves of 32 and 29 bits."""
+    x1, x0, y1, y0 = x >> U(32), x & _LOW32, y >> U(32), y & _LOW32
+    low, mid = x0 * y0, x1 * y0 + x0 * y1
+    return reduced((x1 * y1 << U(3)) + (mid >> U(29)) + ((mid & _LOW29) << U(32)) + (low & _P) + (low >> U(61)))
+
+
+def powers(n: int, which: int = 0, _have: dict = {}) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo PRIME."""
+    if len(_have.get((which, 0), ())) < n:
         m = max(n, 2 * CHUNK_BYTES)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(m, base, U)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _have[key] = p
-    return _have["up"][:n], _have["down"][:n]
+        for side, base in enumerate((BASES[which], pow(BASES[which], -1, PRIME))):
+            p = np.ones(m, U)
+            have = 1
+            while have < m:
+                p[have:2 * have] = times(p[:min(have, m - have)], np.array(pow(base, have, PRIME), U))
+                have *= 2
+            _have[which, side] = p
+    return _have[which, 0][:n], _have[which, 1][:n]
 
 
 class Prefix:
-    """Polynomial hashes of any spans of a sequence of values, from one cumulative sum."""
+    """Polynomial hashes modulo PRIME of any spans of a sequence of values, from one cumulative sum.
+
+    Two different sequences of n values have one hash with a probability of n / PRIME; hashes with another base are
+    independent.
+    """
 
-    def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
+    def __init__(self, values: np.ndarray, which: int = 0):
+        up, self.down = powers(len(values) + 1, which)
+        up = up[:-1]
+        if values.dtype == np.uint8 and len(values) < 1 << 26:
+            low, values = values * (up & _LOW32), values * (up >> U(32))
+            high = values + (low >> U(32))
+        else:
+            low = times(reduced(values.astype(U)), up)
+            high = low >> U(32)
+        high, low = np.cumsum(high, dtype=U), np.cumsum(low & _LOW32, dtype=U)
         self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values.astype(U) * up[:-1], out=self.sums[1:])
+        self.sums[1:] = reduced((high >> U(29)) + ((high & _LOW29) << U(32)) + low)
+
+    def _hash(self, upper: np.ndarray, lower: np.ndarray, down: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix(times(reduced(upper + _P - lower), down) + size * U(0x9E3779B97F4A7C15))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
+        return self._hash(self.sums[end], self.sums[start], self.down[start], (end - start).astype(U))
 
     def windows(self, size: int) -> np.ndarray:
         """The hash of every run of ``size`` values, by its start."""
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + U(size)) if n > 0 else np.zeros(0, U)
+        return self._hash(self.sums[size:], self.sums[:n], self.down[:n], np.array([size], U)) if n > 0 else np.zeros(0, U)
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,27 +125,3 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
         ends[filled[1:] - 1] = inside[filled[1:] - 1]
     start = np.flatnonzero(begins)
     return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
-
-
-def minimizers(order: np.ndarray, width: int, first: np.ndarray) -> np.ndarray:
-    """Positions that are the leftmost smallest of some ``width`` consecutive values of one row.
-
-    ``first`` holds each row's start in ``order`` (and the end of the last); a row with fewer values has none.
-    """
-    n = len(order)
-    if n < width:
-        return np.zeros(0, np.int64)
-    value, at, have = order, np.arange(n, dtype=np.int32), 1
-    while have < width:
-        step = min(have, width - have)
-        m = len(value) - step
-        right = value[step:] < value[:m]
-        value, at = np.where(right, value[step:], value[:m]), np.where(right, at[step:], at[:m])
-        have += step
-    ok = np.zeros(len(at), bool)
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= width:
-            ok[a:b - width + 1] = True
-    chosen = np.zeros(n, bool)
-    chosen[at[ok]] = True
-    return np.flatnonzero(chosen)

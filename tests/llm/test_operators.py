@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("evidor.llm")
 from evidor.llm import components as cc  # noqa: E402
-from evidor.llm import decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity  # noqa: E402
+from evidor.llm import anchors, decontaminate, exact_dedup, html_extract, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity  # noqa: E402
 from evidor.llm import wordhash as W  # noqa: E402
 from evidor.llm.queries import tokenizer_path  # noqa: E402
 
@@ -87,8 +87,10 @@ def test_substring_dedup(spark, batches):
 def test_substring_index_is_incremental(spark):
     texts = list(enumerate(corpus(2)))
     docs = table(spark, texts).select("doc_id", "text")
-    index, parts = substring_dedup.FingerprintIndex(fanout=2), []
+    index, parts = substring_dedup.FingerprintIndex(spark, fanout=2, buckets=3), []
     for lo in range(0, len(texts), 10):
+        if lo == 30:
+            index = substring_dedup.FingerprintIndex.open(spark, index.runs, index.folder, 3, fanout=2)
         found = index.add(docs.where(f"doc_id >= {lo} AND doc_id < {lo + 10}"), docs.where(f"doc_id < {lo + 10}"))
         parts.append(found.where(f"doc_id >= {lo}"))
         assert len(index.runs) <= 3
@@ -97,6 +99,52 @@ def test_substring_index_is_incremental(spark):
         ranges = ranges.union(p)
     got = substring_dedup.digests(substring_dedup.remove(docs, ranges)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(texts)
+    index.drop()
+    assert not index.runs
+
+
+def test_substring_runs_are_joined_in_place(spark):
+    """Buckets of a run meet those of another without an exchange."""
+    texts = list(enumerate(corpus(2)))
+    docs = table(spark, texts).select("doc_id", "text")
+    index = substring_dedup.FingerprintIndex(spark, buckets=3)
+    for part in (docs.where("doc_id < 20"), docs.where("doc_id >= 20")):
+        index.runs.append(index.write(anchors.classes_of(substring_dedup.fingerprints(part))))
+    one, two = map(index.read, index.runs)
+    plan = one.hint("merge").join(two.select("key"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(31)
+    p, other = words(rng, 80, 10**6), words(rng, 80, 10**6)
+    docs = table(spark, [(1, p), (2, p), (2, other), (3, other), (3, other)])
+    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == [(1, 0), (2, 0), (2, 80), (3, 80), (3, 80)]
+    size = {p: len(p), other: len(other)}
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(docs).collect())
+    assert got == sorted([(1, 0), (2, size[p]), (2, 0), (3, size[other]), (3, size[other])])
+    alone = table(spark, [(5, other), (5, other)])
+    assert [r.n_removed for r in suffix_dedup.suffix_dedup(alone).collect()] == [0, 0]
+
+
+def test_hashes_of_parity_sequences_differ(spark):
+    """Sequences on which any polynomial modulo a power of two has one value."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    for which in (0, 1):
+        h = [W.Prefix(np.frombuffer(t.encode(), np.uint8), which).windows(1024)[0] for t in (one, two)]
+        assert h[0] != h[1]
+    w = words(random.Random(4), 60, 10**6)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(table(spark, [(1, f"{w} {one} {w[::-1]}"), (2, f"{w[::-1]} {two} {w}")])).collect()}
+    assert got[1] == 0 and got[2] == 120
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(3)
+    x, y = (np.r_[rng.integers(0, W.PRIME, 200, np.uint64), np.array([0, 1, W.PRIME - 1], np.uint64)] for _ in range(2))
+    assert W.times(x, y).tolist() == [int(a) * int(b) % W.PRIME for a, b in zip(x, y)]
 
 
 def test_substring_null_id_and_empty(spark):
@@ -234,7 +282,7 @@ def test_line_dedup_crowded_band(spark):
     rng.shuffle(texts)
     docs = table(spark, texts)
     t = line_dedup.tidy(F.col("text"))
-    once = docs.select(F.xxhash64(t).alias("id"), F.array(F.lit(1).cast("long")).alias("keys"))
+    once = docs.select(F.xxhash64(t).alias("id"), F.array(F.lit(1).cast("long"), *[F.lit(None).cast("long")] * 11).alias("sig"))
     ids = {r.id: r.doc_id for r in docs.select("doc_id", F.xxhash64(t).alias("id")).collect()}
     found = {}
     for r in line_dedup.line_classes(docs, once).collect():
