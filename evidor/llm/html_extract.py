@@ -27,12 +27,13 @@ RAW = frozenset("script style noscript template iframe textarea title svg".split
 TO_END = frozenset("script style iframe textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object math semantics annotation mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose merror mspace mmultiscripts mprescripts none".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+#: A tag to its end, where quotes hide a ">" only as the value of an attribute. Nothing is tried twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNQUOTED_SLASH = re.compile(r"=[^\s\"'=]+/$")
-_MOST_TAG = 4096
+#: Start tags of blocks, which close an open paragraph.
+_ENDS_P = frozenset("p div ul ol table section article aside nav footer header form h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 Block = tuple[str, list[str]]
 
@@ -49,7 +50,7 @@ def _closed(attributes: str) -> bool:
 def _raw_ends(page: str, tag: str) -> dict[int, int]:
     """The end behind each element of a name that is closed, by the place of its start tag; elements may be nested."""
     ends, starts = {}, []
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])([^>]*)>", re.I).finditer(page):
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>", re.I).finditer(page):
         if not m[1]:
             if not _closed(m[2]):
                 starts.append(m.start())
@@ -58,29 +59,49 @@ def _raw_ends(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[Block]:
-    """(text, features) of the leaf blocks in page order: references decoded, white space as one space, trimmed."""
-    out: list[tuple[str, str, frozenset, int, int]] = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
+def blocks(page: str, known: dict[str, int] | None = None) -> list[Block]:
+    """(text, features) of the leaf blocks in page order: references decoded, white space as one space, trimmed.
+
+    Of the features of ancestors only those in ``known`` are gathered, if it is given.
+    """
+    out: list[tuple[str, str, list[str], int, int]] = []
+    # open elements with their features, the places of the block-level ones among them, and what is open how often
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    levels: list[int] = [0]
+    within: Counter[str] = Counter()
+    around: Counter[str] = Counter()
     text: list[str] = []
     linked, in_link, links = 0, 0, 0
-    within: Counter[str] = Counter()
     raw: dict[str, dict[int, int]] = {}
 
+    def enter(tag: str, attributes: str) -> None:
+        names = {n for n in (f"in:{tag}", *_named(attributes)) if known is None or n in known}
+        if tag not in INLINE:
+            levels.append(len(stack))
+        stack.append((tag, sorted(names)))
+        within[tag] += 1
+        around.update(names)
+
     def leave(i: int) -> None:
-        within.subtract(t for t, _ in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            tag, names = stack.pop()
+            within[tag] -= 1
+            for n in names:
+                around[n] -= 1
+                if not around[n]:
+                    del around[n]
+            if levels[-1] == len(stack):
+                levels.pop()
 
     def flush() -> None:
         nonlocal linked, links
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            out.append((words, tag, stack[-1][1], linked, links))
+            out.append((words, stack[levels[-1]][0], sorted(around), linked, links))
         linked = links = 0
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -98,9 +119,7 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        close = page.find(">", at)
-        m = _TAG.match(page, at, min(n, at + _MOST_TAG)) if close >= 0 else None
-        m = m or (_SHORT_TAG.match(page, at) if close >= 0 else None)
+        m = _TAG.match(page, at) if at < last else None
         if not m:
             text.append("<")
             at += 1
@@ -131,22 +150,16 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in INLINE and ":" in tag:
             continue
-        shut = IMPLIED.get(tag, () if tag in INLINE else ("p",))
-        if tag not in INLINE and any(t == "p" for t, _ in stack[-8:]) and tag in ("p", "div", "ul", "ol", "table", "section", "article", "aside", "nav", "footer", "header", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
-            shut = (*shut, "p")
-        for i in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-            if stack[i][0] in shut:
-                leave(i)
-                break
-            if stack[i][0] not in INLINE and stack[i][0] not in shut:
-                break
-        within[tag] += 1
-        stack.append((tag, stack[-1][1] | {f"in:{tag}", *_named(m[3])} if len(stack) < 512 else stack[-1][1]))
+        if tag not in INLINE:
+            nearest = stack[levels[-1]][0]
+            if nearest in IMPLIED.get(tag, ()) or (nearest == "p" and tag in _ENDS_P):
+                leave(levels[-1])
+        enter(tag, m[3])
     flush()
     return [(words, _features(words, tag, around, linked, links, i, len(out))) for i, (words, tag, around, linked, links) in enumerate(out)]
 
 
-def _features(words: str, tag: str, around: frozenset, linked: int, links: int, i: int, n: int) -> list[str]:
+def _features(words: str, tag: str, around: list[str], linked: int, links: int, i: int, n: int) -> list[str]:
     count = words.count(" ") + 1
     share = linked / max(1, len(words))
     found = ["bias", f"tag:{tag}", f"words:{min(6, count.bit_length())}", f"linked:{round(4 * min(1, share))}", f"links:{min(3, links)}"]
@@ -160,7 +173,7 @@ def _features(words: str, tag: str, around: frozenset, linked: int, links: int,
         found.append("first")
     if i == n - 1:
         found.append("last")
-    return found + sorted(around)
+    return found + around
 
 
 class Chain:
@@ -173,8 +186,8 @@ class Chain:
     def numbers(self, features: list[str]) -> list[int]:
         return [self.index[f] for f in features if f in self.index]
 
-    def fit(self, pages: list[list[list[str]]], labels: list[list[int]], steps: int = 120, rate: float = 0.2, decay: float = 1e-3) -> None:
-        """Adagrad on the conditional log-likelihood of all pages together, padded to the longest."""
+    def padded(self, pages: list[list[list[str]]], labels: list[list[int]]) -> tuple[np.ndarray, ...]:
+        """(row, feature) of every feature, rows, the row of each block of each page (-1 beyond its end), and its label as 0 or 1 in two places."""
         n, longest = len(pages), max(map(len, pages))
         flat, col, rows = [], [], 0
         place = np.full((n, longest), -1)
@@ -185,32 +198,40 @@ class Chain:
                 flat += [rows] * len(ids)
                 col += ids
                 rows += 1
-        flat, col = np.array(flat), np.array(col)
-        real = place >= 0
         y = np.zeros((n, longest), int)
         for i, page in enumerate(labels):
             y[i, :len(page)] = page
-        gold = np.eye(2)[y] * real[..., None]
+        return np.array(flat), np.array(col), rows, place, np.eye(2)[y] * (place >= 0)[..., None]
+
+    def gradient(self, flat: np.ndarray, col: np.ndarray, rows: int, place: np.ndarray, gold: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The conditional log-likelihood of all pages and its gradient by ``emit`` and ``move``, by forward and backward sums."""
+        n, longest = place.shape
+        real = place >= 0
+        score = np.stack([np.bincount(flat, self.emit[col, k], rows) for k in (0, 1)], 1)[np.maximum(place, 0)] * real[..., None]
+        a, b = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+        a[:, 0] = score[:, 0]
+        for t in range(1, longest):
+            nxt = np.logaddexp(a[:, t - 1, :1] + self.move[0], a[:, t - 1, 1:] + self.move[1]) + score[:, t]
+            a[:, t] = np.where(real[:, t, None], nxt, a[:, t - 1])
+        for t in range(longest - 2, -1, -1):
+            after = b[:, t + 1] + score[:, t + 1]
+            nxt = np.logaddexp(self.move[:, 0] + after[:, :1], self.move[:, 1] + after[:, 1:])
+            b[:, t] = np.where(real[:, t + 1, None], nxt, 0)
+        z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+        p = np.exp(a + b - z[:, None, None]) * real[..., None]
+        pair = np.exp(a[:, :-1, :, None] + self.move + (b + score)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
         both = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+        over = (gold - p)[real]
+        by_emit = np.stack([np.bincount(col, over[flat, k], len(self.emit)) for k in (0, 1)], 1)
+        return float((gold * score).sum() + (both * self.move).sum() - z.sum()), by_emit, both - pair.sum((0, 1))
+
+    def fit(self, pages: list[list[list[str]]], labels: list[list[int]], steps: int = 240, rate: float = 0.2, decay: float = 1e-3) -> None:
+        """Adagrad on the conditional log-likelihood of all pages together, padded to the longest."""
+        batch = self.padded(pages, labels)
         h_emit, h_move = np.full_like(self.emit, 1e-2), np.full_like(self.move, 1e-2)
         for _ in range(steps):
-            score = np.stack([np.bincount(flat, self.emit[col, k], rows) for k in (0, 1)], 1)[np.maximum(place, 0)] * real[..., None]
-            a = np.zeros((n, longest, 2))
-            b = np.zeros((n, longest, 2))
-            a[:, 0] = score[:, 0]
-            for t in range(1, longest):
-                nxt = np.logaddexp(a[:, t - 1, :1] + self.move[0], a[:, t - 1, 1:] + self.move[1]) + score[:, t]
-                a[:, t] = np.where(real[:, t, None], nxt, a[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                after = b[:, t + 1] + score[:, t + 1]
-                nxt = np.logaddexp(self.move[:, 0] + after[:, :1], self.move[:, 1] + after[:, 1:])
-                b[:, t] = np.where(real[:, t + 1, None], nxt, 0)
-            z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-            p = np.exp(a + b - z[:, None, None]) * real[..., None]
-            pair = np.exp(a[:, :-1, :, None] + self.move + (b + score)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
-            over = (gold - p)[real]
-            g_emit = np.stack([np.bincount(col, over[flat, k], len(self.emit)) for k in (0, 1)], 1) / n - decay * self.emit
-            g_move = (both - pair.sum((0, 1))) / n - decay * self.move
+            _, g_emit, g_move = self.gradient(*batch)
+            g_emit, g_move = g_emit / len(pages) - decay * self.emit, g_move / len(pages) - decay * self.move
             h_emit += g_emit**2
             h_move += g_move**2
             self.emit += rate * g_emit / np.sqrt(h_emit)
@@ -236,7 +257,7 @@ class Chain:
         return labels[::-1]
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, list[int]]]:
     """Pages in many layouts with the label of each leaf block, made from a seed: what the chain is fitted on."""
     rng = random.Random(seed)
     pages = []
@@ -288,8 +309,31 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[int]
                     wrapped('div class="comment"' if rng.random() < 0.7 else "li", lambda: put(f"<p>{say(3, 50)}</p>", 0))
             wrapped(rng.choice(['section id="comments"', 'div class="comments"', 'div class="user-comments discussion"', 'div id="disqus_thread" class="comment-list"']), fill)
 
+        def name() -> str:
+            """A class or id that tells nothing."""
+            word = rng.choice(["wrap", "wrapper", "page", "container", "inner", "outer", "row", "col", "box", "grid", "layout", "root", "app", "site", "c", "x", "story", "text", "body", "read"])
+            return rng.choice([word, "".join(rng.choice("abcdefghklmnopqrstuvw") for _ in range(rng.randint(2, 8)))])
+
+        def nested(fill) -> None:
+            """Within up to three plain elements."""
+            depth = rng.choice([0, 0, 1, 1, 2, 3])
+            tags = [rng.choice(["div", "div", "section"]) for _ in range(depth)]
+            out.extend(f"<{t}>" if rng.random() < 0.4 else f'<{t} {rng.choice(["class", "id"])}="{name()}">' for t in tags)
+            fill()
+            out.extend(f"</{t}>" for t in reversed(tags))
+
+        def figures() -> None:
+            def row() -> None:
+                put(f"<td>{say(1, 3, False)}</td>", 1)
+                for _ in range(rng.randint(1, 3)):
+                    put(f"<td>{rng.choice([str(rng.randint(0, 9999)), f'{rng.random() * 100:.1f} %', f'{rng.randint(1, 99)},{rng.randint(100, 999)}'])}</td>", 1)
+            wrapped("table", lambda: [wrapped("tr", row) for _ in range(rng.randint(1, 4))])
+
         def article() -> None:
-            if rng.random() < 0.8:
+            nested(told)
+
+        def told() -> None:
+            if rng.random() < 0.55:
                 put(f"<h1>{say(2, 14, False)}</h1>", 1)
             for _ in range(rng.randint(1, 9)):
                 kind = rng.random()
@@ -312,23 +356,31 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[str, list[int]
                     put(f"<div>{say(3, 60)}</div>", 1)
                 else:
                     noise(True)
+            end = rng.random()
+            if end < 0.15:
+                figures()
+            elif end < 0.3:
+                wrapped("aside", lambda: put(f"<p>{say(3, 30)}</p>", 0))
+                put(f"<p>{say(4, 60)}</p>", 1)
             if rng.random() < 0.15:
                 comments()
 
+        def whole() -> None:
+            if rng.random() < 0.5:
+                wrapped(rng.choice(["header", 'div id="header"', 'div class="masthead"']), lambda: (put(f"<div>{say(1, 4, False)}</div>", 0), put(f"<p>{say(2, 9)}</p>", 0)))
+            if rng.random() < 0.8:
+                wrapped(rng.choice(["nav", "nav", 'div class="menu"', 'div id="nav"', 'ul class="navigation"']), lambda: links(rng.randint(2, 8)))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                noise(False)
+            wrapped(rng.choice(["article", "article", "article", "article", "main", 'div id="content"', 'div class="post-content"', 'div class="article-body"', 'section class="entry"', "div", "section", f'div class="{name()}"', f'div id="{name()}"']), article)
+            if rng.random() < 0.3:
+                comments()
+            for _ in range(rng.choice([0, 0, 1])):
+                noise(False)
+            if rng.random() < 0.85:
+                wrapped(rng.choice(["footer", "footer", 'div id="footer"', 'div class="site-footer"']), lambda: [put(f"<div>{rng.choice(['&copy; ', '', 'Copyright '])}{say(2, 25)}</div>", 0) for _ in range(rng.choice([1, 1, 2]))])
         out.append("<!DOCTYPE html><html><head><title>x</title></head><body>")
-        if rng.random() < 0.5:
-            wrapped(rng.choice(["header", 'div id="header"', 'div class="masthead"']), lambda: (put(f"<div>{say(1, 4, False)}</div>", 0), put(f"<p>{say(2, 9)}</p>", 0)))
-        if rng.random() < 0.8:
-            wrapped(rng.choice(["nav", "nav", 'div class="menu"', 'div id="nav"', 'ul class="navigation"']), lambda: links(rng.randint(2, 8)))
-        for _ in range(rng.choice([0, 1, 1, 2])):
-            noise(False)
-        wrapped(rng.choice(["article", "article", "article", "main", 'div id="content"', 'div class="post-content"', 'div class="article-body"', 'section class="entry"']), article)
-        if rng.random() < 0.3:
-            comments()
-        for _ in range(rng.choice([0, 0, 1])):
-            noise(False)
-        if rng.random() < 0.85:
-            wrapped(rng.choice(["footer", "footer", 'div id="footer"', 'div class="site-footer"']), lambda: [put(f"<div>{rng.choice(['&copy; ', '', 'Copyright '])}{say(2, 25)}</div>", 0) for _ in range(rng.choice([1, 1, 2]))])
+        nested(whole if rng.random() < 0.88 else lambda: wrapped(rng.choice(["article", "main", "div"]), article))
         out.append("</body></html>")
         pages.append(("".join(out), labels))
     return pages
@@ -348,7 +400,7 @@ def fit_chain(pages: list[tuple[str, list[int]]] | None = None) -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", chain.index)
     return " ".join(text for (text, _), label in zip(found, chain.decode([f for _, f in found])) if label)
 
 
