@@ -1,9 +1,10 @@
 """Join of near-duplicate documents by the Jaccard similarity of word n-grams: a MinHash LSH forest.
 
-A document's signature is cut into trees; a tree's part of it is a path in a prefix trie. Paths are kept sorted, so
-documents that share a long prefix are neighbours. Prefixes are shortened from the full path until pairs at the
-threshold meet in some tree with the target probability; documents are then paired inside the trie nodes of that
-depth, with the nearest in path order first, and every pair is verified on the whole n-gram sets.
+A document's signature is cut into trees; a tree's part of it is a path in a prefix trie. The search starts with
+documents whose whole paths are equal in some tree and shortens the prefixes by one value at a time: what meets in a
+trie node is verified on the whole n-gram sets and united. From the similarities of the links found follows which
+share of such links the depth reached finds; the descent ends when that share is the target. Within the classes that
+result all links are then counted exactly, block by block.
 """
 
 from __future__ import annotations
@@ -12,58 +13,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import cut, fair_batches, maybe_in
+from .common import cut, fair_batches, maybe_in, stored
 from .components import components
+from .settle import SMALL, at_every_salt, dealt, prefix_pairs, shared_groups, small_pairs, star_pairs, still_open
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, TARGET = 12, 6, 0.995
-#: Nodes of up to NEAR + 1 documents are paired in full. In larger ones each document is paired with the one before it
-#: in path order and with PIVOTS documents that lie most in the middle of the node; what verified links leave outside
-#: the node's main component is treated so again, as a node of its own, until no more links are found.
-NEAR, PIVOTS = 8, 2
+#: Trees and values of a path; the share of links that the depth reached is to find, by the similarities of those found,
+#: and the share of links right at the threshold.
+TREES, DEPTH, TARGET, TARGET_LEAST = 12, 6, 0.9995, 0.99
+#: Documents of a block, and n-grams that a block may hold: larger documents come in smaller blocks.
+BLOCK, BLOCK_GRAMS = 128, 1 << 22
 
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * W.U(2) + W.U(1)
 _XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
 
 
-def match_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which a pair of similarity ``threshold`` meets in a tree with probability ``target``."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair meets in some tree at a depth."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, hashes, row bounds in them) by chunk: each row's distinct n-gram hashes in ascending order.
+def deep_enough(links: DataFrame, depth: int, threshold: float) -> bool:
+    """Whether the links (a, b, s) found down to ``depth`` are the target share of all, each standing for 1 / its probability."""
+    if found_share(threshold, depth) < TARGET_LEAST:
+        return False
+    share = 1 - F.pow(1 - F.pow(F.greatest("s", F.lit(threshold)), F.lit(depth)), F.lit(TREES))
+    found, every = links.agg(F.count("*"), F.sum(1 / share)).first()
+    return not found or found >= TARGET * every
+
+
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, hashes, row bounds in them, second hashes) by chunk: each row's distinct n-gram hashes in ascending order.
 
     Words are lower-case runs of letters and digits; a text of fewer than ``size`` words is one n-gram of all of them.
     """
     for lo, hi, data, offsets in W.chunks(column):
         low = W.LOWER[data]
         start, end, first = W.words(low, offsets, W.NOT_ALNUM)
-        words = W.Prefix(W.Prefix(low).spans(start, end))
+        words, others = (W.Prefix(W.Prefix(low, k).spans(start, end), k) for k in (0, 1))
         n = np.diff(first)
         grams = np.where(n >= size, n - size + 1, np.minimum(n, 1))
         row = np.repeat(np.arange(hi - lo), grams)
         at = np.arange(len(row)) - np.repeat(np.cumsum(grams) - grams, grams) + first[:-1][row]
-        hashes = words.spans(at, at + np.minimum(n[row], size))
+        hashes, second = (p.spans(at, at + np.minimum(n[row], size)) for p in (words, others))
         order = np.lexsort((hashes, row))
-        hashes, row = hashes[order], row[order]
+        hashes, second, row = hashes[order], second[order], row[order]
         fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])][:len(row)]
-        hashes, row = hashes[fresh], row[fresh]
-        yield lo, hi, hashes, np.searchsorted(row, np.arange(hi - lo + 1))
+        hashes, second, row = hashes[fresh], second[fresh], row[fresh]
+        yield lo, hi, hashes, np.searchsorted(row, np.arange(hi - lo + 1)), second
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, set1, set2, sig): n-gram count, a 128-bit key of the n-gram set, and the signature; n is 0 without words."""
+    """(doc_id, n, set1, set2, sig): n-gram count, two independent keys of the n-gram set, and the signature; n is 0 without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, hashes, bounds in shingle_sets(batch.column(1), size):
+            for lo, hi, hashes, bounds, second in shingle_sets(batch.column(1), size):
                 n = np.diff(bounds)
                 filled = np.flatnonzero(n)
                 sig = np.zeros((hi - lo, TREES * DEPTH), np.uint32)
@@ -73,120 +82,196 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     for j in range(TREES * DEPTH):
                         sig[filled, j] = (np.minimum.reduceat((hashes ^ _XOR[j]) * _ODD[j], at) >> W.U(32)).astype(np.uint32)
                     keys[0, filled] = np.add.reduceat(W.mix(hashes), at)
-                    keys[1, filled] = np.add.reduceat(W.mix(hashes ^ _XOR[0]) | W.U(1), at)
+                    keys[1, filled] = np.add.reduceat(W.mix(second), at)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "set1", "set2", "sig"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set1 long, set2 long, sig binary")
 
 
-def paths(heads: DataFrame, depth: int) -> DataFrame:
-    """(node, rest, id): for each tree, the trie node at ``depth`` and what follows of the path."""
-    part = lambda t, a, b: F.substring("sig", 4 * (t * DEPTH + a) + 1, 4 * (b - a))
-    rows = [F.struct(F.xxhash64(F.lit(t), part(t, 0, depth)).alias("node"), part(t, depth, DEPTH).alias("rest")) for t in range(TREES)]
-    return heads.select("id", F.explode(F.array(*rows)).alias("p")).select("p.node", "p.rest", "id")
-
-
-def neighbours(rows: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b), a < b: in path order, every id of a node with those before it: ``near`` of them, or one in a larger node."""
-    by = Window.partitionBy("node").orderBy("rest", "id")
-    before = rows.withColumn("large", F.count("*").over(Window.partitionBy("node")) > near + 1)
-    before = before.select("id", "large", *(F.lag("id", k).over(by).alias(f"l{k}") for k in range(1, near + 1))).where("l1 IS NOT NULL")
-    others = F.when(F.col("large"), F.array("l1")).otherwise(F.array_compact(F.array(*(f"l{k}" for k in range(1, near + 1)))))
-    pairs = before.select("id", F.explode(others).alias("other")).where("id <> other")
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def to_pivots(crowd: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b), a < b: every id of the nodes in ``crowd`` with the ids whose whole paths most others of their nodes have.
-
-    A text of which all others are edited copies has the commonest path in every tree, so it is a pivot.
-    """
-    weight = crowd.groupBy("node", "rest").agg(F.count("*").alias("w"))
-    middle = cut(crowd.join(weight, ["node", "rest"]).groupBy("id").agg(F.sum("w").alias("score")))
-    best = Window.partitionBy("node").orderBy(F.desc("score"), "id")
-    chosen = crowd.join(middle, "id").withColumn("place", F.row_number().over(best)).where(F.col("place") <= pivots).select("node", F.col("id").alias("pivot"))
-    pairs = crowd.join(chosen, "node").where("id <> pivot")
-    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-
+def nodes(heads: DataFrame, depth: int) -> DataFrame:
+    """(key, id): for each tree, the trie node at ``depth``."""
+    keys = [F.xxhash64(F.lit(t), F.substring("sig", 4 * t * DEPTH + 1, 4 * depth)) for t in range(TREES)]
+    return heads.select("id", F.explode(F.array(*keys)).alias("key"))
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """(a, b): the pairs whose whole n-gram sets have a Jaccard similarity of ``threshold`` or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
+def gram_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, grams): the n-gram hashes, as ascending binary, of the documents (id, set1). Written once."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, hashes, bounds in shingle_sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["id", "grams"])
+            for lo, hi, hashes, bounds, _ in shingle_sets(batch.column(1), size):
+                filled = np.flatnonzero(np.diff(bounds))
+                key = np.zeros(hi - lo, np.uint64)
+                if len(filled):
+                    key[filled] = np.add.reduceat(W.mix(hashes), bounds[:-1][filled])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(key.view(np.int64)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["id", "set1", "grams"])
+
+    texts = maybe_in(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), "id", ids.select("id")).where("_maybe").select("id", "text")
+    # rows that repeat an id are told apart by their sets; equal rows are one
+    return stored(texts.mapInArrow(sets, "id long, set1 long, grams binary").join(ids, ["id", "set1"]).select("id", "grams").dropDuplicates(["id"]), "grams")
 
+
+def verified(pairs: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, s): the pairs whose whole n-gram sets have a Jaccard similarity s of ``threshold`` or more."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            found = np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
                     continue
-                merged = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((merged[1:] == merged[:-1]).sum())
-                keep.append(shared >= threshold * (both - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                found[i] = shared / (len(both) - shared)
+            keep = pa.array(found >= threshold - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "s"]).filter(keep)
 
-    texts = maybe_in(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), "id", cut(wanted)).where("_maybe").select("id", "text").dropDuplicates(["id"])
-    grams = cut(texts.mapInArrow(sets, "id long, grams binary"))
     rows = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, s double")
+
+
+def as_array(sets: DataFrame) -> DataFrame:
+    """(id, root, s) from (id, root, grams)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+            ends = np.cumsum([0, *map(len, held)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held)))], names=["id", "root", "s"])
+
+    return sets.select("id", "root", "grams").mapInArrow(run, "id long, root long, s array<long>")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, head_id) and links (a, b) between heads of similarity ``threshold`` or more.
+def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(id, root) of the heads (id, set1, sig) that have a link, the links (a, b, s) that were followed, and the n-gram sets read; or None.
 
-    Documents with equal n-gram sets share a head, the smallest doc_id among them; a document without words is its
-    own head and has no links. Rows that repeat an id count once with the n-grams of one of them. Null ids are left
-    out of links.
+    At each depth all pairs that share a node are settled: verified once, or found in one class through others.
     """
-    fair_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    known = cut(sketches(docs, size))
-    named = known.where("n > 0 AND doc_id IS NOT NULL")
-    grouped = named.groupBy("set1", "set2").agg(F.min("doc_id").alias("head_id"), F.count("*").alias("copies"))
-    repeated = grouped.where("copies > 1")
-    members = known.join(repeated, ["set1", "set2"], "left").select("doc_id", F.when(F.col("n") > 0, F.coalesce("head_id", "doc_id")).otherwise(F.col("doc_id")).alias("head_id"), "n", "sig")
-    members = cut(members)
-    heads = members.where("n > 0 AND doc_id = head_id").select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
-    rows = cut(paths(heads, match_depth(threshold)))
-    tried = links = None
-    while not rows.isEmpty():
-        large = rows.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > NEAR + 1)
-        crowd = cut(rows.join(large, "node").select("node", "rest", "id"))
-        pairs = neighbours(rows).union(to_pivots(crowd)).distinct()
+    roots = links = tried = grams = None
+
+    def follow(pairs: DataFrame) -> None:
+        nonlocal roots, links, tried
         fresh = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(docs, fresh, threshold, size))
+        found = cut(verified(fresh, grams, threshold))
         tried = fresh if tried is None else cut(tried.union(fresh))
         links = found if links is None else cut(links.union(found))
-        if found.isEmpty() or crowd.isEmpty():
+        if roots is None or not found.isEmpty():
+            roots = components(links)
+
+    for depth in range(DEPTH, 0, -1):
+        rows = still_open(shared_groups(nodes(heads, depth)), roots)
+        if not rows.isEmpty():
+            ids = rows.select("id").distinct()
+            need = cut(maybe_in(heads, "id", ids if grams is None else cut(ids.join(grams, "id", "left_anti"))).where("_maybe").select("id", "set1"))
+            more = gram_sets(docs, need if grams is None else need.join(grams, "id", "left_anti"), size)
+            grams = more if grams is None else grams.union(more)
+            follow(star_pairs(rows))
+            rows = still_open(rows.drop("root"), roots, 4)
+            if not rows.isEmpty():
+                large = rows.where(F.col("m") > SMALL).select("id", "root").distinct()
+                pairs = small_pairs(rows)
+                if not large.isEmpty():
+                    pairs = pairs.union(prefix_pairs(cut(as_array(large.join(grams, "id"))), threshold)).distinct()
+                follow(pairs)
+        if deep_enough(links, depth, threshold) if links is not None else found_share(threshold, depth) >= TARGET:
             break
-        placed = cut(crowd.join(components(links), "id", "left").select("node", "rest", "id", F.coalesce("root", "id").alias("root")))
-        each = placed.groupBy("node", "root").agg(F.count("*").alias("k"))
-        main = each.groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        rows = cut(placed.join(main, "node").where("root <> main").select("node", "rest", "id"))
-    if links is None:
-        links = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    return members.select("doc_id", "head_id"), links
+    return roots, links, grams
+
+
+def link_counts(classes: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, n_links): for each id of (id, root) the others of its class with a similarity of ``threshold`` or more.
+
+    A class is cut into blocks, and each two blocks are compared by themselves; pairs are counted and not written.
+    """
+    sized = cut(classes.join(grams, "id").select("id", "root", F.shiftright(F.length("grams"), 3).alias("n")))
+    blocks = sized.groupBy("root").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+    room = F.least(F.lit(BLOCK), F.greatest(F.lit(1), (F.lit(BLOCK_GRAMS) / F.col("most")).cast("int")))
+    blocks = blocks.where("m > 1").select("root", F.ceil(F.col("m") / room).cast("int").alias("blocks"))
+    placed = sized.select("id", "root").join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def count(side: list[int], ids: list[int], sets: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = np.array(ids), np.array([len(s) for s in sets])
+        left = np.flatnonzero(np.array(side) == 0)
+        right = left if same else np.flatnonzero(np.array(side) == 1)
+        token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        number = np.cumsum(np.r_[0, token[1:] != token[:-1]]) if len(token) else token
+        shared = np.zeros((len(left), len(right)), np.float32)
+        at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        step = 8192
+        ends = np.searchsorted(number, np.arange(0, (number[-1] if len(number) else 0) + step + 1, step))
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+            for matrix, place in ((x, at_left), (y, at_right)):
+                mine = place[row[a:b]] >= 0
+                matrix[place[row[a:b][mine]], number[a:b][mine] - k * step] = 1
+            shared += x @ y.T
+        near = shared >= threshold * (n[left][:, None] + n[right] - shared) - 1e-6
+        if same:
+            np.fill_diagonal(near, False)
+            return ids[left], near.sum(1)
+        return np.r_[ids[left], ids[right]], np.r_[near.sum(1), near.sum(0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for at in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
+                if at[:3] != key:
+                    if key is not None:
+                        out.append(count(*held, key[1] == key[2]))
+                    key, held = at[:3], ([], [], [])
+                for column, value in zip(held, (at[3], at[4], np.frombuffer(at[5].as_buffer(), np.uint64).copy())):
+                    column.append(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["id", "n_links"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in count(*held, key[1] == key[2])], names=["id", "n_links"])
+
+    rows = pairs.join(grams, "id").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").select("root", "i", "j", "side", "id", "grams")
+    return rows.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
+def membership(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, head_id, n, set1, sig): documents with equal n-gram sets share a head, the smallest doc_id among them. Written once.
+
+    Only sets that occur more than once, and few others, are shuffled; a group's rows are dealt to salts.
+    """
+    known = cut(sketches(docs, size))
+    named = known.where("n > 0 AND doc_id IS NOT NULL")
+    repeated = cut(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("head_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    flagged = maybe_in(known, "set1", repeated.select("set1"))
+    alone = flagged.where("NOT _maybe").withColumn("head_id", F.col("doc_id"))
+    some = flagged.where("_maybe").withColumn("salt", dealt("doc_id", "set1")).join(at_every_salt(repeated), ["set1", "set2", "salt"], "left")
+    some = some.withColumn("head_id", F.when(F.col("n") > 0, F.coalesce("head_id", "doc_id")).otherwise(F.col("doc_id")))
+    return cut(alone.select("doc_id", "head_id", "n", "set1", "sig").union(some.select("doc_id", "head_id", "n", "set1", "sig")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, head_id (equal n-gram sets), class_id (linked heads, smallest id), n_links of its head.
+    """One row per row of ``docs``: doc_id, head_id (equal n-gram sets), class_id (linked heads, smallest id), n_links of its head.
 
-    n_links counts the verified links that were searched: all of a head's within nodes of up to NEAR + 1 heads, and in
-    larger nodes those that decide the classes.
+    n_links counts the other heads of its class with a similarity of ``threshold`` or more, all of them. A document
+    without words is its own head and has no links, nor has one with a null id. Rows that repeat an id are one
+    document: that with the smallest set key is searched, and all share what it finds. An empty table gives no rows.
     """
-    members, links = join(docs, threshold, size)
-    roots = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    info = cut(roots.join(degree, "id", "left"))
-    return members.join(info.withColumnRenamed("id", "head_id"), "head_id", "left").select(
-        "doc_id", "head_id", F.coalesce("root", "head_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    fair_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    members = membership(docs, size)
+    heads = members.where("n > 0 AND doc_id = head_id").select(F.col("doc_id").alias("id"), "set1", "sig")
+    twice = cut(heads.groupBy("id").agg(F.count("*").alias("c"), F.min("set1").alias("least")).where("c > 1").drop("c"))
+    if not twice.isEmpty():
+        heads = heads.join(twice, "id", "left").where("least IS NULL OR set1 = least").drop("least").dropDuplicates(["id"])
+    roots, links, grams = descend(docs, cut(heads), threshold, size)
+    if roots is None:
+        return members.select("doc_id", "head_id", F.col("head_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    info = cut(roots.join(link_counts(roots, grams, threshold), "id", "left").withColumnRenamed("id", "head_id"))
+    flagged = maybe_in(members.select("doc_id", "head_id"), "head_id", info.select("head_id"))
+    some = flagged.where("_maybe").withColumn("salt", dealt("doc_id")).join(at_every_salt(info), ["head_id", "salt"], "left")
+    some = some.select("doc_id", "head_id", F.coalesce("root", "head_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    alone = flagged.where("NOT _maybe").select("doc_id", "head_id", F.col("head_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return alone.union(some)
 
 
 ORACLE = r"""
