@@ -1,19 +1,24 @@
 """Exact deduplication by two passes over a Bloom filter, in DataFrame operations only.
 
-Pass one counts, for the slots of every text hash, whether a slot was met at least twice; those slots are packed
-into 64-bit words. Pass two tests each hash against the words: a hash with a slot that was met once occurs once, and
-its row goes straight to the result. Only the others, copies and a few false positives, are shuffled and grouped.
+Pass one finds, for the slots of every text hash, which were met at least twice, and packs them into a filter of 4 KB
+bitmaps. Pass two tests each hash against the filter: a hash with a slot that was met once occurs once, and its row
+goes straight to the result. Only the others, copies and a few false positives, are shuffled and grouped. Where a filter
+for all rows would be too large to broadcast, the hashes are split into segments, each with its own filter and passes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, stored
 
-#: Bits of the filter for each row, and the largest filter; a fuller filter lets more rows pass to the exact step.
-BITS_A_ROW, MAX_BITS = 16, 1 << 32
+#: Bits of a filter for each row, and of the filter of a segment (16 MB): its broadcast is bounded by that.
+BITS_A_ROW, SEGMENT_BITS = 16, 1 << 27
+#: Bits of a bitmap, as Spark's bitmap functions form them.
+BLOCK_BITS = 32768
 #: Parts into which the rows of one hash are dealt when the group's head is joined back.
 SALTS = 32
 
@@ -23,32 +28,45 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def repeated_words(hashed: DataFrame, bits: int) -> DataFrame:
-    """Rows (word, bits): 64 slots each of the filter, with a bit for each slot that was met at least twice."""
+def repeated_slots(hashed: DataFrame, bits: int) -> DataFrame:
+    """(block, bits): the filter of ``bits`` slots as bitmaps, with a bit for each slot that was met at least twice."""
     slots = hashed.select(F.explode(F.array(*(F.pmod(F.col(h), F.lit(bits)) for h in ("h1", "h2")))).alias("slot"))
-    again = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    return again.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    again = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select((F.col("slot") + 1).alias("v"))
+    return again.groupBy((F.bitmap_bucket_number("v") - 1).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+
 
+def possibly_repeated(hashed: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
+    """``hashed`` with a column _again: false only where a hash certainly occurs once. Nothing is exchanged."""
+    again = F.lit(True)
+    for i, h in enumerate(("h1", "h2")):
+        slot = F.pmod(F.col(h), F.lit(bits))
+        have = F.broadcast(blocks.select(F.col("block").alias(f"_k{i}"), F.col("bits").alias(f"_b{i}")))
+        hashed = hashed.join(have, F.floor(slot / BLOCK_BITS) == F.col(f"_k{i}"), "left")
+        place = slot % BLOCK_BITS
+        octet = F.conv(F.hex(F.substring(f"_b{i}", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+        again = again & F.coalesce(F.getbit(octet, (place % 8).cast("int")) == 1, F.lit(False))
+    return hashed.withColumn("_again", again).drop("_k0", "_b0", "_k1", "_b1")
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """One row per row of ``docs``: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if equal after normalisation of white space; of equal texts the row with the smallest id stays.
     Null text counts as empty. Rows that repeat an id and text share keep_id and are all marked kept; a null id stays
     only in a group that has no other. An empty table gives no rows; other columns of ``docs`` are not carried.
     """
-    rows = docs.count()
-    bits = bits or min(MAX_BITS, max(1 << 10, 1 << (rows * BITS_A_ROW - 1).bit_length() if rows else 1))
+    need = max(1 << 15, docs.count() * BITS_A_ROW)
+    bits = min(segment_bits, 1 << (need - 1).bit_length())
+    segments = -(-need // bits)
     digest = docs.select(F.col(id_col).alias("_id"), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"))
-    hashed = cut(digest.select("_id", "_sha", F.xxhash64("_sha").alias("h1"), F.xxhash64("_sha", F.lit(1)).alias("h2")))
-    words = cut(repeated_words(hashed, bits).coalesce(max(1, bits >> 22)))
-    flagged = hashed
-    for i, h in enumerate(("h1", "h2")):
-        slot = F.pmod(F.col(h), F.lit(bits))
-        have = small(words.select(F.col("word").alias(f"_w{i}"), F.col("bits").alias(f"_b{i}")), 64)
-        flagged = flagged.withColumn("_slot", slot).join(have, F.shiftright("_slot", 6) == F.col(f"_w{i}"), "left")
-        flagged = flagged.withColumn(f"_again{i}", F.coalesce(F.expr(f"getbit(_b{i}, cast(_slot & 63 as int)) = 1"), F.lit(False)))
-    flagged = cut(flagged.select("_id", "_sha", (F.col("_again0") & F.col("_again1")).alias("_again")))
+    hashed = digest.select("_id", "_sha", F.xxhash64("_sha").alias("h1"), F.xxhash64("_sha", F.lit(1)).alias("h2"))
+    hashed = stored(hashed.withColumn("segment", F.pmod(F.xxhash64("_sha", F.lit(2)), F.lit(segments)).cast("int")), "hashes", "segment")
+    flagged = []
+    for k in range(segments):
+        part = hashed.where(F.col("segment") == k)
+        blocks = cut(repeated_slots(part, bits).coalesce(max(1, bits >> 22)))
+        flagged.append(cut(possibly_repeated(part, blocks, bits).select("_id", "_sha", "_again")))
+    flagged = reduce(DataFrame.union, flagged)
     once = flagged.where(~F.col("_again")).select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("bigint").alias("_n"))
     maybe = flagged.where("_again").select("_id", "_sha", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt"))
     heads = maybe.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n"))
