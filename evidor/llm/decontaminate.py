@@ -1,8 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-Postings (term, document, position) are kept for the terms of the benchmark. Every window of an item is looked up by
-its rarest terms: their lists, each shifted by the term's offset in the window, are intersected, and what is left is
-compared with the words of the document. The same lists give proximity matches, where the two rarest terms stand
+The index stores the postings (term, document, position) of the documents for the terms of the benchmark. Every window
+of an item is looked up by its rarest terms: their lists, each shifted by the term's offset in the window, are
+intersected, and what is left is compared with the words of the document. The same lists give proximity matches, where the two rarest terms stand
 within a slack of their distance in the window.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, small
+from .common import BROADCAST_BYTES, cut, maybe_in, small, stored
+from .settle import at_every_salt, dealt
 
 #: Words of a window; lists intersected for each window.
 WINDOW, RAREST = 10, 2
@@ -33,26 +34,42 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select(F.xxhash64("item_id", "w").alias("win"), "item_id", "w")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, pos, and the columns of ``terms``): one row for each place of each term, the terms' rows joined to it."""
-    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(terms, "term")
+def positional_index(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, pos, t): the postings of the documents for the terms of the windows, terms as hashes. Written once.
+
+    A filter of bounded size picks the terms, so nothing is exchanged and a frequent term is no task's burden; the few
+    other terms that pass it do no harm. The outer form, as Spark would find the words again to leave out empty texts.
+    """
+    terms = cut(wins.select(F.explode("w").alias("term")).select(F.xxhash64("term").alias("t")).distinct())
+    places = docs.select("doc_id", F.posexplode_outer(words(F.col("text"))).alias("pos", "term")).where("term IS NOT NULL")
+    return stored(maybe_in(places.select("doc_id", "pos", F.xxhash64("term").alias("t")), "t", terms).where("_maybe").drop("_maybe"), "postings")
 
 
-def lookups(docs: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(term, win, offset, rank): for each window its ``rarest`` places with the fewest postings. A window with a term that has none is left out."""
-    places = wins.select("win", F.posexplode("w").alias("offset", "term"))
-    vocabulary = places.select("term").distinct()
-    counts = postings(docs, small(vocabulary, 64)).groupBy("term").agg(F.count("*").alias("n"))
-    ranked = places.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def lists(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, win, start, rank): the postings of the terms (t, win, offset, rank) looked up, shifted by their offsets.
+
+    Where the terms are too many to be broadcast, the postings of one are dealt to salts.
+    """
+    if found.count() * 64 <= BROADCAST_BYTES:
+        met = index.join(F.broadcast(found), "t")
+    else:
+        met = index.withColumn("salt", dealt("doc_id")).join(at_every_salt(found), ["t", "salt"])
+    return met.select("doc_id", "win", (F.col("pos") - F.col("offset")).alias("start"), "rank")
+
+
+def lookups(index: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
+    """(t, win, offset, rank): for each window its ``rarest`` places with the fewest postings. A window with a term that has none is left out."""
+    places = wins.select("win", F.posexplode("w").alias("offset", "term")).select("win", "offset", F.xxhash64("term").alias("t"))
+    counts = index.groupBy("t").agg(F.count("*").alias("n"))
+    ranked = places.join(counts, "t", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by = Window.partitionBy("win")
     ranked = ranked.withColumn("least", F.min("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy("n", "offset")))
-    return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("term", "win", "offset", "rank")
+    return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("t", "win", "offset", "rank")
 
 
-def candidates(docs: DataFrame, found: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
+def candidates(index: DataFrame, found: DataFrame, wins: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(doc_id, win, start): places where all shifted lists of a window meet."""
-    lists = postings(docs, small(found, 64)).select("doc_id", "win", (F.col("pos") - F.col("offset")).alias("start"), "rank").where("start >= 0")
-    met = lists.groupBy("doc_id", "win", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"))
+    met = lists(index, found).where("start >= 0").groupBy("doc_id", "win", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"))
     need = wins.select("win", F.least(F.size("w"), F.lit(rarest)).alias("need"))
     return met.join(small(need, 32), "win").where(F.bit_count("seen") == F.col("need")).select("doc_id", "win", "start")
 
@@ -60,29 +77,33 @@ def candidates(docs: DataFrame, found: DataFrame, wins: DataFrame, rarest: int =
 def near(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = 3) -> DataFrame:
     """(doc_id, item_id, off_by): proximity matches, where a window's two rarest terms are off by 0 to ``slack`` words."""
     wins = cut(windows(items, size))
-    lists = postings(docs, small(cut(lookups(docs, wins, 2)), 64)).select("doc_id", "win", (F.col("pos") - F.col("offset")).alias("start"), "rank")
+    index = positional_index(docs, wins)
+    shifted = lists(index, cut(lookups(index, wins, 2)))
     cell = F.floor(F.col("start") / (slack + 1))
-    one = lists.where("rank = 1").select("doc_id", "win", F.col("start").alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    two = lists.where("rank = 2").select("doc_id", "win", F.col("start").alias("b"), cell.alias("cell"))
-    close = one.join(two, ["doc_id", "win", "cell"]).where(F.abs(F.col("a") - F.col("b")) <= slack)
-    return close.join(small(wins.select("win", "item_id"), 64), "win").groupBy("doc_id", "item_id").agg(F.min(F.abs(F.col("a") - F.col("b"))).alias("off_by"))
+    one = shifted.where("rank = 1").select("doc_id", "win", F.col("start").alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    two = shifted.where("rank = 2").select(F.col("doc_id").alias("_id"), "win", F.col("start").alias("b"), cell.alias("cell"))
+    close = one.join(two, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (one["win"] == two["win"]) & (one["cell"] == two["cell"])).where(F.abs(F.col("a") - F.col("b")) <= slack)
+    close = close.select("doc_id", one["win"], F.abs(F.col("a") - F.col("b")).alias("off"))
+    return close.join(small(wins.select("win", "item_id"), 64), "win").groupBy("doc_id", "item_id").agg(F.min("off").alias("off_by"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_words, spans, items): for each document its (start, length) of exact matches and their items.
 
     Items or texts that are null or without words match nothing. A row that repeats an id and its text is the same
-    document; rows that repeat an id with another text are judged each by its own words.
+    document; rows that repeat an id with another text are judged each by its own words, and so are rows with a null id.
     """
     docs = docs.select("doc_id", "text")
     wins = cut(windows(items, size))
-    found = cut(lookups(docs, wins))
-    places = cut(candidates(docs, found, wins).groupBy("doc_id").agg(F.collect_list(F.struct("start", "win")).alias("places")))
+    index = positional_index(docs, wins)
+    found = cut(lookups(index, wins))
+    places = cut(candidates(index, found, wins).groupBy("doc_id").agg(F.collect_list(F.struct("start", "win")).alias("places")))
     docs = maybe_in(docs, "doc_id", places.select("doc_id"))
     key, n_words = F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("bigint").alias("n_words")
     none = docs.where("NOT _maybe").select("doc_id", key, n_words).distinct()
     empty = [F.array().cast(f"array<{kind}>").alias(name) for name, kind in (("spans", "struct<start:int,length:int>"), ("items", "string"))]
-    with_places = docs.where("_maybe").join(places, "doc_id", "left").withColumn("_w", words(F.col("text")))
+    places = places.withColumnRenamed("doc_id", "_id")
+    with_places = docs.where("_maybe").join(places, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_w", words(F.col("text")))
     read = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["win"].alias("win"), F.slice("_w", p["start"] + 1, size).alias("seen")))
     rows = with_places.select("doc_id", key, F.size("_w").cast("bigint").alias("n_words"), F.explode_outer(read).alias("p"))
     rows = rows.select("doc_id", "text_key", "n_words", "p.*").join(small(wins, 256), "win", "left")
