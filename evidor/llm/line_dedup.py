@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_in, stored
 from .components import components
+from .settle import SMALL, at_every_salt, dealt, prefix_pairs, shared_groups, small_pairs, star_pairs, still_open
 
 #: Characters of a shingle, bands of two ranges (a line at the threshold shares one with probability
 #: 1 - (1 - 0.8^2)^6 = 0.998), and the similarity from which lines are the same.
 SHINGLE, BANDS, THRESHOLD = 9, 6, 0.8
 #: Ranges in which two lines must agree to be compared: at the threshold fewer of 12 agree with probability 0.0006.
 AGREE = 5
-#: The lines of a band are compared with two of them; where that leaves several components, those of a band of up to
-#: SMALL lines are paired in full and those of larger ones by an exact join on rare shingles.
-SMALL = 64
-#: Parts into which the lines of one hash are dealt when classes are joined to them.
-SALTS = 16
 
 
 def tidy(line: Column) -> Column:
@@ -66,8 +62,9 @@ def signatures(once: DataFrame) -> DataFrame:
     ranges = 2 * BANDS
     code = once.select("id", coded(F.col("t")).alias("code"))
     each = code.select("id", "code", F.explode_outer(places(F.col("code"))).alias("i")).select("id", "i", shingle(F.col("code"), F.col("i")).alias("h"))
-    each = each.withColumn("r", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * ranges, 32))
-    least = each.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("c"), *(F.min(F.when(F.col("r") == k, F.col("h"))).alias(f"m{k}") for k in range(ranges)))
+    # the upper half of a hash tells its range, the lower half its place there
+    each = each.select("id", "i", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * ranges, 32).alias("r"), F.shiftright(F.shiftleft("h", 32), 32).cast("int").alias("v"))
+    least = each.groupBy("id").agg(F.count_if(F.col("i") == 0).alias("c"), *(F.min(F.when(F.col("r") == k, F.col("v"))).alias(f"m{k}") for k in range(ranges)))
     return least.select("id", "c", F.array(*(f"m{k}" for k in range(ranges))).alias("sig"))
 
 
@@ -80,62 +77,6 @@ def band_keys(sig: Column) -> Column:
     return F.array_compact(F.array(*(key(k) for k in range(BANDS))))
 
 
-def shared_bands(once: DataFrame) -> DataFrame:
-    """(key, id, m, lo, hi): the lines of bands that hold several, with their number and two of them. Written once.
-
-    Most keys occur once; they are sieved out before the join.
-    """
-    keyed = once.select("id", F.explode_outer(band_keys(F.col("sig"))).alias("key"))
-    repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1"))
-    return cut(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"))
-
-
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: every line of a band with the band's smallest and largest."""
-    ends = F.explode(F.array(*(F.struct(F.least("id", e).alias("a"), F.greatest("id", e).alias("b")) for e in ("lo", "hi"))))
-    return shared.select(ends.alias("p")).select("p.a", "p.b").where("a < b").distinct()
-
-
-def still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of bands whose lines are not all of one component, with their component as root. Written once."""
-    rows = shared.where("m > 3").join(roots, "id", "left").select("key", "id", "m", "lo", "hi", F.coalesce("root", "id").alias("root"))
-    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    return cut(rows.join(several, "key", "left_semi"))
-
-
-def small_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: lines of different components in bands of up to SMALL lines, but for those met by ``star_pairs``."""
-    few = rows.where((F.col("m") <= SMALL) & (F.col("id") != F.col("lo")) & (F.col("id") != F.col("hi"))).select("key", "id", "root")
-    return few.alias("l").join(few.alias("r"), "key").where("l.id < r.id AND l.root <> r.root").select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
-def prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: of the lines (id, root) with ``texts``, all pairs in different components that can be at the threshold.
-
-    Put the shingles of both in one order: two such lines share one of the first (1 - threshold) * n + 1 of each. First
-    come shingles not found twice in an eighth of the lines, as far as a filter tells, so that few lines share them. A
-    token's lines of its largest component are met by the others only; lines of a token are dealt to salts on one side
-    and repeated on the other.
-    """
-    lines_ = cut(rows.select("id", "root").distinct())
-    sets = lines_.join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
-    eighth = sets.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select(F.explode_outer("s").alias("x"))
-    often = cut(eighth.groupBy("x").agg(F.count("*").alias("f")).where("f > 1").select("x"))
-    tokens = maybe_in(sets.select("id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("x")), "x", often)
-    parts = [F.sort_array(F.collect_list(F.when(c, F.col("x")))) for c in (~F.col("_maybe"), F.col("_maybe"))]
-    length = F.col("n") - F.ceil(THRESHOLD * F.col("n") - 1e-9).cast("int") + 1
-    kept = tokens.groupBy("id", "root", "n").agg(F.concat(*parts).alias("t"))
-    prefix = cut(kept.select("id", "n", "root", F.explode(F.slice("t", F.lit(1), length)).alias("x")))
-    each = prefix.groupBy("x", "root").agg(F.count("*").alias("c"))
-    token = cut(each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    held = maybe_in(prefix, "x", token.select("x")).where("_maybe").drop("_maybe").join(token, "x")
-    left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    close = F.least("l.n", "r.n") >= THRESHOLD * F.greatest("l.n", "r.n") - 1e-9
-    met = left.alias("l").join(right.alias("r"), ["x", "salt"]).where((F.col("l.root") != F.col("r.root")) & close)
-    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-
-
 def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures (id, sig) agree in AGREE ranges at least."""
     one, two = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
@@ -146,7 +87,7 @@ def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, t): the lines in the one column of ``wanted``; written once. Their shingles take many times their room."""
     found = lines(docs).select(tidy(F.col("line")).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("id"), "t")
-    return cut(maybe_in(found, "id", wanted).where("_maybe").groupBy("id").agg(F.min("t").alias("t")))
+    return stored(maybe_in(found, "id", wanted).where("_maybe").groupBy("id").agg(F.min("t").alias("t")), "lines")
 
 
 def similar(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -164,17 +105,20 @@ def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD)
 
     All pairs of lines that share a band are settled: compared, or found in one component through others.
     """
-    shared = shared_bands(once)
+    shared = shared_groups(once.select("id", F.explode_outer(band_keys(F.col("sig"))).alias("key")))
     wanted = cut(shared.select("id").distinct())
     texts = texts_of(docs, wanted)
-    sigs = cut(maybe_in(once, "id", wanted).where("_maybe").select("id", "sig"))
+    sigs = stored(maybe_in(once, "id", wanted).where("_maybe").select("id", "sig"), "signatures")
     links = cut(similar(texts, promising(star_pairs(shared), sigs), threshold))
     roots = components(links)
-    rows = still_open(shared, roots)
+    rows = still_open(shared, roots, 4)
     if rows.isEmpty():
         return roots
     large = rows.where(F.col("m") > SMALL)
-    pairs = small_pairs(rows) if large.isEmpty() else small_pairs(rows).union(prefix_pairs(texts, large)).distinct()
+    pairs = small_pairs(rows)
+    if not large.isEmpty():
+        sets = cut(large.select("id", "root").distinct()).join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
+        pairs = pairs.union(prefix_pairs(sets, threshold)).distinct()
     found = cut(similar(texts, promising(pairs, sigs), threshold))
     return roots if found.isEmpty() else components(links.union(found))
 
@@ -195,9 +139,9 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # lines that occur once and have no near duplicate stay; the others are gathered by class
     every = maybe_in(every, "id", once.where("c > 1").select("id").union(roots.select("id")))
     alone = every.where("NOT _maybe").select("doc_id", "line_no", F.col("id").alias("line_class"), F.lit(True).alias("kept"))
-    salted = every.where("_maybe").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)).cast("int"))
-    dealt = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    classed = cut(salted.join(dealt, ["id", "salt"], "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("line_class")))
+    salted = every.where("_maybe").withColumn("salt", dealt("doc_id", "line_no"))
+    everywhere = at_every_salt(roots)
+    classed = cut(salted.join(everywhere, ["id", "salt"], "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("line_class")))
     first = classed.groupBy("line_class").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("_d"), F.col("f.line_no").alias("_n"), F.col("line_class").alias("_c"))
     at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_n")) & (F.col("line_class") == F.col("_c"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -282,7 +283,7 @@ def test_line_dedup_crowded_band(spark):
     rng.shuffle(texts)
     docs = table(spark, texts)
     t = line_dedup.tidy(F.col("text"))
-    once = docs.select(F.xxhash64(t).alias("id"), F.array(F.lit(1).cast("long"), *[F.lit(None).cast("long")] * 11).alias("sig"))
+    once = docs.select(F.xxhash64(t).alias("id"), F.array(F.lit(1), *[F.lit(None).cast("int")] * 11).alias("sig"))
     ids = {r.id: r.doc_id for r in docs.select("doc_id", F.xxhash64(t).alias("id")).collect()}
     found = {}
     for r in line_dedup.line_classes(docs, once).collect():
@@ -332,17 +333,25 @@ def test_exact_dedup(spark):
     for i, t in texts:
         groups.setdefault(norm(t), []).append(i)
     want = sorted((repr(i), min(x for x in groups[norm(t)] if x is not None), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in texts)
-    for bits in (None, 64):
-        got = exact_dedup.exact_dedup(table(spark, texts, CLASH), bits=bits).collect()
+    for bits in (exact_dedup.SEGMENT_BITS, 1 << 14, 1 << 9):
+        got = exact_dedup.exact_dedup(table(spark, texts, CLASH), segment_bits=bits).collect()
         assert sorted((repr(r.doc_id), r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     assert exact_dedup.exact_dedup(table(spark, [(1, "x")]).limit(0)).count() == 0
 
 
 def test_exact_dedup_shuffles_only_possible_repeats(spark):
-    hashed = spark.createDataFrame([(i, i) for i in range(50)] + [(7, 7)], "h1 long, h2 long")
-    words_ = exact_dedup.repeated_words(hashed.select(F.xxhash64("h1").alias("h1"), F.xxhash64("h1", F.lit(1)).alias("h2")), 1 << 20)
-    assert words_.agg(F.sum(F.bit_count("bits"))).first()[0] == 2
+    """Of three million rows the filter lets the copies and a few others pass, and the test against it exchanges nothing."""
+    n, copies = 3_000_000, 500
+    hashed = spark.range(n, numPartitions=8).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    hashed = hashed.union(hashed.where(F.pmod("h1", F.lit(n // copies)) == 0))
+    bits = 1 << 26
+    flagged = exact_dedup.possibly_repeated(hashed, exact_dedup.cut(exact_dedup.repeated_slots(hashed, bits)), bits)
+    again = flagged.where("_again").count()
+    true = hashed.groupBy("h1", "h2").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert true <= again <= true + 0.03 * n
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
 
 
 # Quality and toxicity
@@ -493,6 +502,10 @@ def test_decontaminate(spark):
     none = decontaminate.decontaminate(docs, bench.limit(0)).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    item = " ".join(f"t{k}" for k in range(12))
+    one = spark.createDataFrame([("q", item)], "item_id string, text string")
+    rows = decontaminate.decontaminate(table(spark, [(None, f"x {item}"), (None, "other words"), (1, item)]), one).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in rows) == [("1", 12, 12), ("None", 2, 0), ("None", 13, 12)]
 
 
 def test_proximity(spark):
@@ -530,7 +543,60 @@ def test_ngram_join(spark):
     want, links = brute_join(texts)
     got = ngram_join.near_duplicates(table(spark, texts, CLASH)).collect()
     assert {r.doc_id: (r.head_id, r.class_id) for r in got} == want and len(got) == len(texts)
-    assert links
+    assert links and {r.doc_id: r.n_links for r in got} == {i: sum(want[i][0] in pair for pair in links) for i, _ in texts}
+
+
+@pytest.mark.parametrize("n, edits", [(30, 1), (200, 1)])
+def test_ngram_join_counts_all_links_of_edited_copies(spark, n, edits):
+    rng = random.Random(n)
+    base, texts = words(rng, 120, 10**6).split(), []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(120), edits):
+            w[k] = f"e{i}x{k}"
+        texts.append((i, " ".join(w)))
+    want, links = brute_join(texts)
+    assert len(links) > 10 * n or n == 30
+    got = ngram_join.near_duplicates(table(spark, texts)).collect()
+    degree = {i: 0 for i, _ in texts}
+    for pair in links:
+        for i in pair:
+            degree[i] += 1
+    assert {r.doc_id: r.n_links for r in got} == degree
+    assert {r.doc_id: (r.head_id, r.class_id) for r in got} == want
+
+
+def test_link_counts_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    base, texts = words(rng, 60, 10**6).split(), []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{i}"
+        texts.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    want, links = brute_join(texts)
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
+    assert got == {i: sum(i in pair for pair in links) for i, _ in texts}
+
+
+def test_large_open_groups_are_settled(spark):
+    """Pairs of a group that neither of its two ends resembles, by the set join."""
+    rng = random.Random(6)
+    texts = []
+    for g in range(5):
+        base = words(rng, 80, 10**6).split()
+        for i in range(30):
+            w = list(base)
+            w[rng.randrange(80)] = f"e{g}x{i}"
+            texts.append((len(texts), " ".join(w)))
+    want, links = brute_join(texts)
+    docs = table(spark, texts)
+    heads = ngram_join.membership(docs).select(F.col("doc_id").alias("id"), "set1")
+    grams = ngram_join.gram_sets(docs, heads)
+    group = heads.select("id", F.col("id").alias("root"))
+    pairs = ngram_join.prefix_pairs(ngram_join.as_array(group.join(grams, "id")), 0.8)
+    got = {(r.a, r.b) for r in ngram_join.verified(pairs, grams).collect()}
+    assert got == set(links)
 
 
 def test_ngram_join_hot_group(spark):
@@ -553,8 +619,10 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_duplicates(table(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_match_depth():
-    assert ngram_join.match_depth(0.8, 12, 6, 0.995) == 4 and ngram_join.match_depth(0.99, 12, 6, 0.995) == 6
+def test_descent_follows_the_similarities_found(spark):
+    rows = lambda s: spark.createDataFrame([(k, k + 1, s) for k in range(50)], "a long, b long, s double")
+    assert not ngram_join.deep_enough(rows(0.99), 6, 0.8) and ngram_join.deep_enough(rows(0.99), 5, 0.8)
+    assert not ngram_join.deep_enough(rows(0.81), 4, 0.8) and ngram_join.deep_enough(rows(0.81), 3, 0.8)
 
 
 # HTML extraction
@@ -583,6 +651,71 @@ def test_chain_on_unseen_pages():
     assert right >= 0.98 * total
 
 
+PARAGRAPHS = [f"Sentence number {k} tells of rivers and of the long road that leads there, as it always did." for k in range(4)]
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">About</a></li></ul></nav>'
+FOOT = "<footer><div>&copy; 2024 Some Site</div></footer>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<div class="story">', "</div>"), ("<article>", "</article>"), ("<article><div>", "</div></article>"), ("<div>" * 600 + "<article>", "</article>" + "</div>" * 600),
+    ('<div class="wrapper"><div class="row"><main>', '<div class="comments"><h3>Comments</h3><div class="comment"><p>nice one</p></div></div></main></div></div>'),
+])
+def test_layouts_the_chain_was_not_fitted_on(before, after):
+    told = "".join(f"<p>{t}</p>" for t in PARAGRAPHS)
+    assert html_extract.main_text(f"<html><body>{NAV}{before}{told}{after}{FOOT}</body></html>", html_extract.fit_chain()) == " ".join(PARAGRAPHS)
+
+
+def test_html_parts_inside_an_article():
+    chain = html_extract.fit_chain()
+    a, b, c, d = (f"<p>{t}</p>" for t in PARAGRAPHS)
+    page = f"<html><body>{NAV}<article><div>{a}<aside><p>See also this.</p></aside>{b}</div><table><tr><td>Year</td><td>2020</td></tr><tr><td>Sum</td><td>1,204</td></tr></table></article>{FOOT}</body></html>"
+    assert html_extract.main_text(page, chain) == f"{PARAGRAPHS[0]} {PARAGRAPHS[1]} Year 2020 Sum 1,204"
+    quoted = f"""<article>{a}<p data-x="(5000 {'y' * 5000}> leaked" title='a > b'>{PARAGRAPHS[1]}</p><p a="b>{c}{d}</article>"""
+    assert [t for t, _ in html_extract.blocks(quoted)][:2] == PARAGRAPHS[:2]
+    assert not any("leaked" in t for t, _ in html_extract.blocks(quoted))
+    assert html_extract.blocks("<a b=" * 20000 + "<" * 20000)[0][0].startswith("<a b=<a b=")
+    assert [t for t, _ in html_extract.blocks("<b>" * 20000 + "<p>x" * 200)] == ["x"] * 200
+
+
+def random_chain(seed, features=4):
+    rng = np.random.default_rng(seed)
+    chain = html_extract.Chain([str(k) for k in range(features)])
+    chain.emit, chain.move = rng.normal(size=(features, 2)), rng.normal(size=(2, 2))
+    page = [[str(k) for k in range(features) if rng.random() < 0.5] for _ in range(rng.integers(1, 8))]
+    return chain, page, rng.integers(0, 2, len(page)).tolist()
+
+
+def chain_score(chain, page, labels):
+    score = sum(chain.emit[int(f), y] for features, y in zip(page, labels) for f in features)
+    return score + sum(chain.move[a, b] for a, b in zip(labels, labels[1:]))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_viterbi_finds_the_best_of_all_labels(seed):
+    chain, page, _ = random_chain(seed)
+    every = list(itertools.product((0, 1), repeat=len(page)))
+    assert np.isclose(chain_score(chain, page, chain.decode(page)), max(chain_score(chain, page, y) for y in every))
+
+
+def test_chain_gradient():
+    drawn = [random_chain(seed) for seed in range(5)]
+    chain, pages, labels = drawn[0][0], [d[1] for d in drawn], [d[2] for d in drawn]
+    batch = chain.padded(pages, labels)
+
+    def likelihood():
+        return sum(chain_score(chain, p, y) - np.log(sum(np.exp(chain_score(chain, p, z)) for z in itertools.product((0, 1), repeat=len(p)))) for p, y in zip(pages, labels))
+
+    value, by_emit, by_move = chain.gradient(*batch)
+    assert np.isclose(value, likelihood())
+    for weights, slope in ((chain.emit, by_emit), (chain.move, by_move)):
+        for at in np.ndindex(weights.shape):
+            weights[at] += 1e-5
+            up = likelihood()
+            weights[at] -= 2e-5
+            assert np.isclose((up - likelihood()) / 2e-5, slope[at], atol=1e-4)
+            weights[at] += 1e-5
+
+
 # Words and hashes
 
 def test_words_and_hashes():
