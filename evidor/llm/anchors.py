@@ -23,7 +23,7 @@ _LOW = W.U((1 << _BITS) - 1)
 #: key: hash of the anchor; span: hash, by another base, of the run's content and the anchor's place; txt: hash of the
 #: document's text, which tells rows with one doc_id apart; a, b: the run's first and last window start; last: b, or the
 #: last window start of the equal runs that follow it without a gap.
-RUNS = "key long, span long, a long, b long, last long, doc_id long, txt long"
+RUNS = "key long, span long, a long, b long, last long, doc_id long, txt int"
 
 
 def starts_of(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def with_hash(docs: DataFrame) -> DataFrame:
     """doc_id, txt, text of the documents that have an id."""
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("txt"), "text")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", F.hash("text").alias("txt"), "text")
 
 
 def emit(batch: pa.RecordBatch, rows: np.ndarray, lo: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ from .common import cut, fair_batches, maybe_in, remove_folder, shared_folder, s
 #: Words of a window and of the n-gram that anchors it; batches of the registered query; runs that trigger compaction.
 WINDOW, GRAM, BATCHES, FANOUT = 50, 20, 3, 2
 #: Columns of a run of the index.
-INDEX = "key BIGINT, span BIGINT, n BIGINT, a BIGINT, b BIGINT, last BIGINT, doc_id BIGINT, txt BIGINT"
+INDEX = "key BIGINT, span BIGINT, n BIGINT, a BIGINT, b BIGINT, last BIGINT, doc_id BIGINT, txt INT"
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -60,7 +60,7 @@ def window_hashes(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> D
                 row, final = row[run_no], at + (last[run_no] - at) // count[run_no] * count[run_no]
                 yield emit(batch, row, lo, {"w1": one.spans(at, at + window), "w2": two.spans(at, at + window), "a": at - first[row], "b": final + window - first[row]})
 
-    return texts.mapInArrow(run, "w1 long, w2 long, a long, b long, doc_id long, txt long")
+    return texts.mapInArrow(run, "w1 long, w2 long, a long, b long, doc_id long, txt int")
 
 
 class FingerprintIndex:
@@ -146,7 +146,7 @@ class FingerprintIndex:
 
 def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every document without the words in its ranges (doc_id, txt, ranges)."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("txt"), "text")
+    docs = docs.select("doc_id", F.hash("text").alias("txt"), "text")
     flagged = maybe_in(docs, "doc_id", ranges.select("doc_id"))
     some = flagged.where("_maybe").join(ranges, ["doc_id", "txt"], "left").select("doc_id", "text", "ranges")
     kind = ranges.schema["ranges"].dataType

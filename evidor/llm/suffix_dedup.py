@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .anchors import RUNS, classes_of, emit, judge, likely, merged, runs, with_hash
+from .anchors import RUNS, emit, merged, runs, with_hash
 from .common import cut, fair_batches, maybe_in, stored
 
 #: Bytes of a window and of the n-gram that anchors it; depth in bytes of the quicksort.
 WINDOW, GRAM, SHALLOW = 100, 20, 24
 #: Classes of an anchor beyond which its windows are dealt one by one.
 HOT = 1000
+#: Elements of a segment from which the quicksort splits no further.
+FEW = 16
 
 
 class BlindTrie:
@@ -75,8 +77,9 @@ class BlindTrie:
 def multikey_quicksort(word, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): 0..n-1 sorted by ``word(numbers, d)``, d < depth, and where strings with other words begin.
 
-    All segments are split at once: each at its middle element into less, equal and greater, of which the equal part
-    goes on with the next word. A segment is done when it has one element or no word left.
+    All segments are split at once: each at the median of three into less, equal and greater, of which the equal part
+    goes on with the next word. A segment is done when it has one element or no word left; when none has more than
+    FEW, the rest is sorted directly.
     """
     order, level, begins = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
     begins[:1] = True
@@ -92,8 +95,16 @@ def multikey_quicksort(word, n: int, depth: int) -> tuple[np.ndarray, np.ndarray
         start = np.cumsum(size) - size
         own = np.repeat(np.arange(len(size)), size)
         numbers, d = order[active], level[active]
+        if size.max() <= FEW:
+            left = [word(numbers, np.minimum(d + k, depth - 1)) for k in range(depth)]
+            by = np.lexsort((*left[::-1], own))
+            order[active], level[active] = numbers[by], depth
+            begins[active] = np.r_[True, np.any([np.diff(x[by].view(np.int64)) != 0 for x in (*left, own)], axis=0)]
+            break
         key = word(numbers, d)
-        pivot = key[start + size // 2][own]
+        middle, final = key[start + size // 2], key[start + size - 1]
+        low, high = np.minimum(key[start], middle), np.maximum(key[start], middle)
+        pivot = np.minimum(np.maximum(low, final), high)[own]
         side = (key > pivot).astype(np.int8) - (key < pivot)
         at = start[own]
         place = np.empty(len(active), np.int64)
@@ -159,13 +170,13 @@ def byte_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(key, doc_id, txt, a, b, last, again, m): runs of anchors that occur more than once; again: the class has an earlier run."""
-    classes = judge(classes_of(found))
-    rows = likely(found, classes.select("key")).join(classes, ["key", "span"])
+    """(key, doc_id, txt, a, b, last, again, m): runs of classes met earlier (again), of anchors with m > 1 classes, and runs that repeat."""
+    rows = found.repartition("key")
     # rows that repeat an id and its text share their rank
-    inside = F.rank().over(Window.partitionBy("key", "span", "doc_id").orderBy("txt", "a")) > 1
-    later = rows.where("first < doc_id").withColumn("again", F.lit(True))
-    return later.unionByName(rows.where("first = doc_id").withColumn("again", inside)).select("key", "doc_id", "txt", "a", "b", "last", "again", "m")
+    same, anchor = Window.partitionBy("key", "span").orderBy("doc_id", "txt", "a"), Window.partitionBy("key").orderBy("span")
+    rows = rows.withColumn("again", F.rank().over(same) > 1).withColumn("nth", F.dense_rank().over(anchor))
+    rows = rows.withColumn("m", F.max("nth").over(Window.partitionBy("key")))
+    return rows.where("again OR m > 1 OR last > b").select("key", "doc_id", "txt", "a", "b", "last", "again", "m")
 
 
 def fragments(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -191,9 +202,9 @@ def fragments(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataF
                 for lo in range(0, len(rows), 4096):
                     key, part, a, piece = zip(*rows[lo:lo + 4096])
                     n = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array([doc.as_py()] * n, pa.int64()), pa.array([txt.as_py()] * n, pa.int64()), pa.array(a, pa.int64()), pa.array(piece, pa.binary())], names=["key", "part", "doc_id", "txt", "a", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array([doc.as_py()] * n, pa.int64()), pa.array([txt.as_py()] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(piece, pa.binary())], names=["key", "part", "doc_id", "txt", "a", "piece"])
 
-    return texts.mapInArrow(run, "key long, part long, doc_id long, txt long, a long, piece binary")
+    return texts.mapInArrow(run, "key long, part long, doc_id long, txt int, a long, piece binary")
 
 
 def sorted_repeats(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -205,20 +216,21 @@ def sorted_repeats(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         text, starts = b"".join(piece), base[row] + inner
         doc_id, txt, place = np.array(doc)[row], np.array(txt)[row], np.array(at)[row] + inner
+        by = np.lexsort((place, txt, doc_id))
+        moved = (np.diff(doc_id[by]) != 0) | (np.diff(txt[by]) != 0) | (np.diff(place[by]) != 0)
         order = np.empty(len(row), np.int64)
-        order[np.lexsort((place, txt, doc_id))] = np.arange(len(row))
-        out = []
-        for numbers in deep_shallow(text, starts, window):
-            if len(numbers) > 1:
-                first = numbers[order[numbers].argmin()]
-                same = (doc_id[numbers] == doc_id[first]) & (txt[numbers] == txt[first]) & (place[numbers] == place[first])
-                out.append(numbers[~same])
-        out = np.concatenate(out) if out else np.zeros(0, np.int64)
+        order[by] = np.cumsum(np.r_[0, moved])
+        groups = [numbers for numbers in deep_shallow(text, starts, window) if len(numbers) > 1]
+        out = np.concatenate(groups) if groups else np.zeros(0, np.int64)
+        if groups:
+            size = np.array([len(g) for g in groups])
+            first = np.minimum.reduceat(order[out], np.cumsum(size) - size)
+            out = out[order[out] != np.repeat(first, size)]
         out = out[np.argsort(order[out])]
         d, t, p = doc_id[out], txt[out], place[out]
         head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])[:len(d)]
         tail = np.r_[head[1:], len(d)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(d[head], pa.int64()), pa.array(t[head], pa.int64()), pa.array(p[head], pa.int64()), pa.array(p[tail] + window if len(d) else p, pa.int64())], names=["doc_id", "txt", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(d[head], pa.int64()), pa.array(t[head], pa.int32()), pa.array(p[head], pa.int64()), pa.array(p[tail] + window if len(d) else p, pa.int64())], names=["doc_id", "txt", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[], [], [], [], [], []]
@@ -234,7 +246,7 @@ def sorted_repeats(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         if rows[0]:
             yield flush(*rows)
 
-    return pieces.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "a").mapInArrow(run, "doc_id long, txt long, a long, b long")
+    return pieces.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "a").mapInArrow(run, "doc_id long, txt int, a long, b long")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -247,13 +259,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     fair_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = stored(byte_runs(docs, window), "found")
-    judged = stored(repeats(found), "judged")
+    judged = stored(repeats(byte_runs(docs, window)), "judged")
     again = judged.where("again").select("doc_id", "txt", "a", (F.col("b") + window).alias("b"))
-    close = found.where("last > b").select("doc_id", "txt", (F.col("b") + 1).alias("a"), (F.col("last") + window).alias("b"))
+    close = judged.where("last > b").select("doc_id", "txt", (F.col("b") + 1).alias("a"), (F.col("last") + window).alias("b"))
     sorted_out = sorted_repeats(fragments(docs, judged.where("m > 1 AND NOT again"), window), window)
     ranges = cut(again.union(close).union(sorted_out).groupBy("doc_id", "txt").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
-    flagged = maybe_in(docs.select("doc_id", F.xxhash64("text").alias("txt"), "text"), "doc_id", ranges.select("doc_id"))
+    flagged = maybe_in(docs.select("doc_id", F.hash("text").alias("txt"), "text"), "doc_id", ranges.select("doc_id"))
     some = flagged.where("_maybe").join(ranges, ["doc_id", "txt"], "left").select("doc_id", "text", "ranges")
     every = flagged.where("NOT _maybe").select("doc_id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")).unionByName(some)
 
