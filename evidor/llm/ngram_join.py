@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from . import wordhash as W
 from .common import cut, fair_batches, maybe_in, stored
 from .components import components
-from .settle import SMALL, at_every_salt, dealt, prefix_pairs, shared_groups, small_pairs, star_pairs, still_open
+from .settle import SMALL, at_every_salt, dealt, shared_groups, small_pairs, star_pairs, still_open
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees and values of a path; the share of links that the depth reached is to find, by the similarities of those found,
 #: and the share of links right at the threshold.
 TREES, DEPTH, TARGET, TARGET_LEAST = 12, 6, 0.9995, 0.99
 #: Documents of a block, and n-grams that a block may hold: larger documents come in smaller blocks.
-BLOCK, BLOCK_GRAMS = 128, 1 << 22
+BLOCK, BLOCK_GRAMS = 512, 1 << 22
 
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * W.U(2) + W.U(1)
@@ -129,23 +129,128 @@ def verified(pairs: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -
     return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, s double")
 
 
-def as_array(sets: DataFrame) -> DataFrame:
-    """(id, root, s) from (id, root, grams)."""
+def in_blocks(groups: DataFrame, grams: DataFrame) -> DataFrame:
+    """(grp, i, j, side, grams, and the columns of ``groups``): each (grp, id, ..) once for each two blocks of its group it is in.
+
+    A group's ids are dealt to blocks by hash, so that a block has about BLOCK ids and BLOCK_GRAMS n-grams.
+    """
+    sized = groups.join(grams.select("id", F.shiftright(F.length("grams"), 3).alias("n")), "id")
+    room = F.least(F.lit(BLOCK), F.greatest(F.lit(1), (F.lit(BLOCK_GRAMS) / F.max("n")).cast("int")))
+    blocks = sized.groupBy("grp").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    placed = groups.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *groups.columns)
+    dealt_rows = pairs.join(grams, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "id")
+    return dealt_rows.select("grp", "i", "j", "side", "grams", *(c for c in groups.columns if c != "grp"))
+
+
+def similarities(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of each set of ``left`` and each of ``right``; tokens that one set alone holds are only counted."""
+    n = np.array([len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    often = count[token] > 1
+    token, row = np.unique(token[often], return_inverse=True)[1], row[often]
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    shared, step = np.zeros((len(left), len(right)), np.float32), 2048
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        a, b = np.searchsorted(token, (lo, lo + step))
+        sides = []
+        for at, width in zip(place, (len(left), len(right))):
+            mine = at[row[a:b]] >= 0
+            matrix = np.zeros((width, step), np.float32)
+            matrix[at[row[a:b][mine]], token[a:b][mine] - lo] = 1
+            sides.append(matrix)
+        shared += sides[0] @ sides[1].T
+    return shared / np.maximum(n[left][:, None] + n[right] - shared, 1)
+
+
+def by_block(rows: DataFrame, schema: str, compare) -> DataFrame:
+    """``compare(columns, sets, left, right)`` for each two blocks of ``in_blocks``, one at a time; within a block left is right."""
+    names = rows.columns[5:]
+    fields = schema.split(", ")
+    kinds = [pa.float64() if f.endswith("double") else pa.int64() for f in fields]
+
+    def settle(held: list[list], same: bool) -> tuple:
+        side, sets = np.array(held[0]), held[1]
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        return compare({name: values for name, values in zip(names, held[2:])}, sets, left, right)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
-            ends = np.cumsum([0, *map(len, held)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held)))], names=["id", "root", "s"])
+            out = []
+            columns = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, *range(5, batch.num_columns))]
+            for at, packed in zip(zip(*columns), batch.column(4)):
+                if at[:3] != key:
+                    if key is not None:
+                        out.append(settle(held, key[1] == key[2]))
+                    key, held = at[:3], [[] for _ in range(len(at) - 1)]
+                for column, value in zip(held, (at[3], np.frombuffer(packed.as_buffer(), np.uint64).copy(), *at[4:])):
+                    column.append(value)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*out), kinds)], names=[f.split()[0] for f in fields])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(settle(held, key[1] == key[2]), kinds)], names=[f.split()[0] for f in fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Cells (row, column) of a matrix between the numbers ``left`` and ``right`` that keep connected what all its cells connect."""
+    seen, out = np.zeros(n, bool), []
+    at = {}
+    for k, (numbers, matrix) in enumerate(((left, near), (right, near.T))):
+        for row, number in enumerate(numbers.tolist()):
+            at.setdefault(number, []).append((matrix[row], right if k == 0 else left, k, row))
+    for start in at:
+        if seen[start]:
+            continue
+        seen[start], stack = True, [start]
+        while stack:
+            for cells, others, k, row in at[stack.pop()]:
+                new = np.flatnonzero(cells & ~seen[others])
+                seen[others[new]] = True
+                stack += others[new].tolist()
+                out += [(row, c) if k == 0 else (c, row) for c in new.tolist()]
+    return out
+
+
+def crowded_links(rows: DataFrame, grams: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, s): links that unite the roots of large nodes (key, id, root), compared block by block; pairs are not written.
+
+    A pair that shares several of the nodes is compared in that of them with the smallest key.
+    """
+    held = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    groups = rows.select(F.col("key").alias("grp"), "id", "root").join(held, "id").withColumn("mine", F.col("grp"))
 
-    return sets.select("id", "root", "grams").mapInArrow(run, "id long, root long, s array<long>")
+    def compare(columns: dict, sets: list, left: np.ndarray, right: np.ndarray) -> tuple:
+        ids, root, mine = np.array(columns["id"]), np.array(columns["root"]), columns["mine"][0]
+        s = similarities(sets, left, right)
+        near = (s >= threshold - 1e-6) & (root[left][:, None] != root[right])
+        if near.any():
+            keys = [set(k) for k in columns["keys"]]
+            for x, y in np.argwhere(near).tolist():
+                near[x, y] = min(keys[left[x]] & keys[right[y]]) == mine
+        found = spanning(near, left, right, len(ids))
+        x, y = (np.array([f[k] for f in found], int) for k in (0, 1))
+        a, b = ids[left[x]], ids[right[y]]
+        return np.minimum(a, b), np.maximum(a, b), s[x, y].astype(float)
+
+    return by_block(in_blocks(groups, grams), "a long, b long, s double", compare)
 
 
 def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """(id, root) of the heads (id, set1, sig) that have a link, the links (a, b, s) that were followed, and the n-gram sets read; or None.
 
-    At each depth all pairs that share a node are settled: verified once, or found in one class through others.
+    Pairs that share a node are settled depth by depth: verified once, or found in one class through others. Those of
+    large nodes that are open then are compared block by block at the last depth, whose nodes hold all deeper ones.
     """
-    roots = links = tried = grams = None
+    roots = links = tried = grams = shared = None
 
     def follow(pairs: DataFrame) -> None:
         nonlocal roots, links, tried
@@ -157,7 +262,8 @@ def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
             roots = components(links)
 
     for depth in range(DEPTH, 0, -1):
-        rows = still_open(shared_groups(nodes(heads, depth)), roots)
+        shared = shared_groups(nodes(heads, depth))
+        rows = still_open(shared, roots)
         if not rows.isEmpty():
             ids = rows.select("id").distinct()
             need = cut(maybe_in(heads, "id", ids if grams is None else cut(ids.join(grams, "id", "left_anti"))).where("_maybe").select("id", "set1"))
@@ -165,14 +271,16 @@ def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
             grams = more if grams is None else grams.union(more)
             follow(star_pairs(rows))
             rows = still_open(rows.drop("root"), roots, 4)
-            if not rows.isEmpty():
-                large = rows.where(F.col("m") > SMALL).select("id", "root").distinct()
-                pairs = small_pairs(rows)
-                if not large.isEmpty():
-                    pairs = pairs.union(prefix_pairs(cut(as_array(large.join(grams, "id"))), threshold)).distinct()
-                follow(pairs)
+            follow(small_pairs(rows))
         if deep_enough(links, depth, threshold) if links is not None else found_share(threshold, depth) >= TARGET:
             break
+    if roots is not None:
+        crowd = still_open(shared, roots, SMALL + 1)
+        if not crowd.isEmpty():
+            more = cut(crowded_links(crowd.select("key", "id", "root"), grams, threshold))
+            if not more.isEmpty():
+                links = cut(links.union(more))
+                roots = components(links)
     return roots, links, grams
 
 
@@ -181,57 +289,16 @@ def link_counts(classes: DataFrame, grams: DataFrame, threshold: float = THRESHO
 
     A class is cut into blocks, and each two blocks are compared by themselves; pairs are counted and not written.
     """
-    sized = cut(classes.join(grams, "id").select("id", "root", F.shiftright(F.length("grams"), 3).alias("n")))
-    blocks = sized.groupBy("root").agg(F.count("*").alias("m"), F.max("n").alias("most"))
-    room = F.least(F.lit(BLOCK), F.greatest(F.lit(1), (F.lit(BLOCK_GRAMS) / F.col("most")).cast("int")))
-    blocks = blocks.where("m > 1").select("root", F.ceil(F.col("m") / room).cast("int").alias("blocks"))
-    placed = sized.select("id", "root").join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-
-    def count(side: list[int], ids: list[int], sets: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = np.array(ids), np.array([len(s) for s in sets])
-        left = np.flatnonzero(np.array(side) == 0)
-        right = left if same else np.flatnonzero(np.array(side) == 1)
-        token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(token, kind="stable")
-        token, row = token[order], row[order]
-        number = np.cumsum(np.r_[0, token[1:] != token[:-1]]) if len(token) else token
-        shared = np.zeros((len(left), len(right)), np.float32)
-        at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-        step = 8192
-        ends = np.searchsorted(number, np.arange(0, (number[-1] if len(number) else 0) + step + 1, step))
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-            for matrix, place in ((x, at_left), (y, at_right)):
-                mine = place[row[a:b]] >= 0
-                matrix[place[row[a:b][mine]], number[a:b][mine] - k * step] = 1
-            shared += x @ y.T
-        near = shared >= threshold * (n[left][:, None] + n[right] - shared) - 1e-6
-        if same:
+    def compare(columns: dict, sets: list, left: np.ndarray, right: np.ndarray) -> tuple:
+        ids = np.array(columns["id"])
+        near = similarities(sets, left, right) >= threshold - 1e-6
+        if left is right:
             np.fill_diagonal(near, False)
             return ids[left], near.sum(1)
         return np.r_[ids[left], ids[right]], np.r_[near.sum(1), near.sum(0)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
-        for batch in batches:
-            out = []
-            for at in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5)):
-                if at[:3] != key:
-                    if key is not None:
-                        out.append(count(*held, key[1] == key[2]))
-                    key, held = at[:3], ([], [], [])
-                for column, value in zip(held, (at[3], at[4], np.frombuffer(at[5].as_buffer(), np.uint64).copy())):
-                    column.append(value)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["id", "n_links"])
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in count(*held, key[1] == key[2])], names=["id", "n_links"])
-
-    rows = pairs.join(grams, "id").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").select("root", "i", "j", "side", "id", "grams")
-    return rows.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    counted = by_block(in_blocks(classes.select(F.col("root").alias("grp"), "id"), grams), "id long, n_links long", compare)
+    return counted.groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
 
 def membership(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -19,10 +19,16 @@ SMALL, SALTS = 64, 16
 def shared_groups(keyed: DataFrame) -> DataFrame:
     """(key, id, m, lo, hi): the rows (key, id) of keys that hold several, with their number and two ids. Written once.
 
-    Most keys occur once; they are sieved out before the join.
+    In groups of more than three, lo is the id that shares its keys with most others: that of which others are edited
+    copies, if there is one. Most keys occur once; they are sieved out before the join.
     """
     repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1"))
-    return stored(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"), "groups")
+    rows = stored(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"), "groups")
+    large = rows.where("m > 3").select("key", "id", "m")
+    score = large.groupBy("id").agg(F.sum("m").alias("score"))
+    rank = F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    middle = cut(large.join(score, "id").groupBy("key").agg(F.max_by("id", rank).alias("middle")))
+    return stored(rows.join(middle, "key", "left").select("key", "id", "m", F.coalesce("middle", "lo").alias("lo"), "hi"), "groups")
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:

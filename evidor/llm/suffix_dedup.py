@@ -21,7 +21,7 @@ from .common import cut, fair_batches, maybe_in, stored
 #: Bytes of a window and of the n-gram that anchors it; depth in bytes of the quicksort.
 WINDOW, GRAM, SHALLOW = 100, 20, 24
 #: Classes of an anchor beyond which its windows are dealt one by one.
-HOT = 1000
+HOT = 1 << 15
 #: Elements of a segment from which the quicksort splits no further.
 FEW = 16
 

@@ -593,30 +593,13 @@ def test_large_open_groups_are_settled(spark):
     docs = table(spark, texts)
     heads = ngram_join.membership(docs).select(F.col("doc_id").alias("id"), "set1")
     grams = ngram_join.gram_sets(docs, heads)
-    group = heads.select("id", F.col("id").alias("root"))
-    pairs = ngram_join.prefix_pairs(ngram_join.as_array(group.join(grams, "id")), 0.8)
-    got = {(r.a, r.b) for r in ngram_join.verified(pairs, grams).collect()}
-    assert got == set(links)
-
-
-def test_ngram_join_hot_group(spark):
-    """Edited copies that are near to their original and not to each other, and more of them than a node pairs in full."""
-    rng = random.Random(13)
-    base = words(rng, 200, 10**6).split()
-    texts = [(0, " ".join(base))]
-    for i in range(1, 60):
-        w = list(base)
-        for k in rng.sample(range(0, 200, 10), 3):
-            w[k] = f"e{i}x{k}"
-        texts.append((i, " ".join(w)))
-    got = {r.class_id for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
-    assert got == {0}
-
-
-def test_ngram_join_edges(spark):
-    rows = ngram_join.near_duplicates(table(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "one"), (4, "One!"), (4, "One!")])).collect()
-    assert sorted((str(r.doc_id), str(r.class_id)) for r in rows) == [("1", "1"), ("2", "2"), ("3", "3"), ("4", "3"), ("4", "3"), ("None", "None")]
-    assert ngram_join.near_duplicates(table(spark, [(1, "x")]).limit(0)).count() == 0
+    for root in (F.col("id"), F.floor(F.col("id") / 3)):
+        rows = heads.select(F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("key"), "id", root.cast("long").alias("root"))
+        found = ngram_join.crowded_links(rows, grams).collect()
+        parts = {r.id: r.root for r in cc.components(spark.createDataFrame([(r.a, r.b) for r in found] + [(x.id, x.root) for x in rows.collect()], "a long, b long")).collect()}
+        assert {(r.a, r.b) for r in found} <= set(links) and len(found) < len(links)
+        assert all(parts[a] == parts[b] for a, b in links)
+    assert all(parts[a] != parts[b] for a, b in ((0, 30), (30, 60), (60, 90), (90, 120)))
 
 
 def test_descent_follows_the_similarities_found(spark):
