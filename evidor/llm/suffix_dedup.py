@@ -23,7 +23,7 @@ WINDOW, GRAM, SHALLOW = 100, 20, 24
 #: Classes of an anchor beyond which its windows are dealt one by one.
 HOT = 1 << 15
 #: Elements of a segment from which the quicksort splits no further.
-FEW = 16
+FEW = 4096
 
 
 class BlindTrie:
@@ -126,14 +126,11 @@ def multikey_quicksort(word, n: int, depth: int) -> tuple[np.ndarray, np.ndarray
 
 def deep_shallow(text: bytes, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
     """Numbers of ``starts`` in the order of the ``depth``-byte strings there, equal strings together."""
-    data = np.frombuffer(text + bytes(8), np.uint8).astype(W.U)
-
-    def word(numbers: np.ndarray, d: np.ndarray) -> np.ndarray:
-        at, found = starts[numbers] + 8 * d, np.zeros(len(numbers), W.U)
-        for i in range(8):
-            found = (found << W.U(8)) | data[at + i]
-        return found
-
+    data = np.frombuffer(text + bytes(8), np.uint8)
+    words = np.zeros(len(text) + 1, W.U)
+    for i in range(8):
+        words = (words << W.U(8)) | data[i:i + len(words)]
+    word = lambda numbers, d: words[starts[numbers] + 8 * d]
     order, begins = multikey_quicksort(word, len(starts), shallow // 8)
     bounds = np.flatnonzero(np.r_[begins, True])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
