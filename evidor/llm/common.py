@@ -43,7 +43,15 @@ def stored(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFram
     """``df`` written as Parquet to the shared folder, in folders ``by`` a column, and read back: a smaller ``cut`` for wide or many rows."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*[by] if by else []).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*found: DataFrame) -> None:
+    """Deletes what ``stored`` wrote; only for rows from which all that is needed has been written elsewhere."""
+    for df in found:
+        remove_folder(df.sparkSession, df.stored_at)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, stored
+from .common import cut, discard, maybe_in, stored
 from .components import components
 from .settle import SMALL, at_every_salt, dealt, prefix_pairs, shared_groups, small_pairs, star_pairs, still_open
 
@@ -112,7 +112,9 @@ def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD)
     links = cut(similar(texts, promising(star_pairs(shared), sigs), threshold))
     roots = components(links)
     rows = still_open(shared, roots, 4)
+    discard(shared)
     if rows.isEmpty():
+        discard(texts, sigs)
         return roots
     large = rows.where(F.col("m") > SMALL)
     pairs = small_pairs(rows)
@@ -120,6 +122,7 @@ def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD)
         sets = cut(large.select("id", "root").distinct()).join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
         pairs = pairs.union(prefix_pairs(sets, threshold)).distinct()
     found = cut(similar(texts, promising(pairs, sigs), threshold))
+    discard(texts, sigs)
     return roots if found.isEmpty() else components(links.union(found))
 
 
@@ -134,14 +137,16 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = lines(docs).select("doc_id", "line_no", F.nullif(tidy(F.col("line")), F.lit("")).alias("t"))
     named = found.select("doc_id", "line_no", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("id"), "t")
     once = stored(signatures(named.where("id IS NOT NULL")))
+    twice = cut(once.where("c > 1").select("id"))
     roots = line_classes(docs, once, threshold)
+    discard(once)
     every = stored(named.drop("t"))
     # lines that occur once and have no near duplicate stay; the others are gathered by class
-    every = maybe_in(every, "id", once.where("c > 1").select("id").union(roots.select("id")))
+    every = maybe_in(every, "id", twice.union(roots.select("id")))
     alone = every.where("NOT _maybe").select("doc_id", "line_no", F.col("id").alias("line_class"), F.lit(True).alias("kept"))
     salted = every.where("_maybe").withColumn("salt", dealt("doc_id", "line_no"))
     everywhere = at_every_salt(roots)
-    classed = cut(salted.join(everywhere, ["id", "salt"], "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("line_class")))
+    classed = stored(salted.join(everywhere, ["id", "salt"], "left").select("doc_id", "line_no", F.coalesce("root", "id").alias("line_class")))
     first = classed.groupBy("line_class").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
     first = first.select(F.col("f.doc_id").alias("_d"), F.col("f.line_no").alias("_n"), F.col("line_class").alias("_c"))
     at = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("line_no") == F.col("_n")) & (F.col("line_class") == F.col("_c"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .common import cut, fair_batches, maybe_in, stored
+from .common import cut, discard, fair_batches, maybe_in, stored
 from .components import components
 from .settle import SMALL, at_every_salt, dealt, shared_groups, small_pairs, star_pairs, still_open
 
@@ -262,6 +262,8 @@ def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
             roots = components(links)
 
     for depth in range(DEPTH, 0, -1):
+        if shared is not None:
+            discard(shared)
         shared = shared_groups(nodes(heads, depth))
         rows = still_open(shared, roots)
         if not rows.isEmpty():

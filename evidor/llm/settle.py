@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_in, stored
+from .common import cut, discard, maybe_in, stored
 
 #: Members of a group whose open pairs are formed in full; parts into which the ids of one token are dealt.
 SMALL, SALTS = 64, 16
@@ -22,13 +22,17 @@ def shared_groups(keyed: DataFrame) -> DataFrame:
     In groups of more than three, lo is the id that shares its keys with most others: that of which others are edited
     copies, if there is one. Most keys occur once; they are sieved out before the join.
     """
-    repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("m > 1"))
+    repeated = cut(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     rows = stored(maybe_in(keyed, "key", repeated.select("key")).where("_maybe").select("key", "id").join(repeated, "key"), "groups")
+    ends = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     large = rows.where("m > 3").select("key", "id", "m")
     score = large.groupBy("id").agg(F.sum("m").alias("score"))
     rank = F.col("score") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    middle = cut(large.join(score, "id").groupBy("key").agg(F.max_by("id", rank).alias("middle")))
-    return stored(rows.join(middle, "key", "left").select("key", "id", "m", F.coalesce("middle", "lo").alias("lo"), "hi"), "groups")
+    middle = large.join(score, "id").groupBy("key").agg(F.max_by("id", rank).alias("middle"))
+    ends = cut(ends.join(middle, "key", "left").select("key", F.coalesce("middle", "lo").alias("lo"), "hi"))
+    out = stored(rows.join(ends, "key").select("key", "id", "m", "lo", "hi"), "groups")
+    discard(rows)
+    return out
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:

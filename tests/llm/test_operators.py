@@ -593,7 +593,7 @@ def test_large_open_groups_are_settled(spark):
     docs = table(spark, texts)
     heads = ngram_join.membership(docs).select(F.col("doc_id").alias("id"), "set1")
     grams = ngram_join.gram_sets(docs, heads)
-    for root in (F.col("id"), F.floor(F.col("id") / 3)):
+    for root in (F.col("id"), -1 - F.floor(F.col("id") / 3)):
         rows = heads.select(F.explode(F.expr("array(1L, 2L)")).alias("key"), "id", root.cast("long").alias("root"))
         found = ngram_join.crowded_links(rows, grams).collect()
         parts = {r.id: r.root for r in cc.components(spark.createDataFrame([(r.a, r.b) for r in found] + [(x.id, x.root) for x in rows.collect()], "a long, b long")).collect()}
