@@ -40,11 +40,19 @@ def completions(ledger: Ledger) -> DataFrame:
 
 
 def acceptance(ledger: Ledger) -> DataFrame:
-    """(claim_id, outcome): Complete, Blocked or Pending of claims in validation, from admission, increments and verdict."""
-    one, two = (phase_state(ledger, p).select("claim_id", F.col("passed").alias(f"p{p}")) for p in (1, 2))
-    rows = ledger.claims.where(F.col("status") == vocab.VALIDATING).select("claim_id").join(one, "claim_id").join(two, "claim_id").join(claim_verdicts(ledger), "claim_id")
-    done = F.col("p1") & F.col("p2") & (F.col("verdict") == 1)
-    return rows.select("claim_id", F.when(F.coalesce(done, F.lit(False)), "Complete").when(F.col("verdict") > 1, "Blocked").otherwise("Pending").alias("outcome"))
+    """(claim_id, outcome): Complete, Blocked or Pending of claims in validation, from admission, increments and verdict.
+
+    All phases are judged in one pass over the runs of required checks.
+    """
+    required = ledger.validations.where(F.col("mode") == vocab.REQUIRED).select("validation_id", "claim_id", "phase")
+    judged = required.join(runs(ledger.verdicts), "validation_id", "left")
+    passed, late = F.coalesce(F.col("final") == 1, F.lit(False)), F.col("phase") > vocab.ADMISSION
+    state = judged.groupBy("claim_id").agg(
+        F.bool_and(F.when(F.col("phase") <= 2, passed)).alias("begun"), F.bool_and(F.when(late, F.col("final").isNotNull())).alias("done"), F.max(F.when(late, severity(F.col("final")))).alias("worst"))
+    rows = ledger.claims.where(F.col("status") == vocab.VALIDATING).select("claim_id").join(state, "claim_id", "left")
+    verdict = F.when(F.col("done"), by_severity(F.col("worst")))
+    done = F.coalesce(F.col("begun"), F.lit(True)) & (verdict == 1)
+    return rows.select("claim_id", F.when(F.coalesce(done, F.lit(False)), "Complete").when(verdict > 1, "Blocked").otherwise("Pending").alias("outcome"))
 
 
 def expand(ledger: Ledger) -> DataFrame:
@@ -182,11 +190,23 @@ def choose(rows: DataFrame, key: str, cursor: int, capacity: int) -> DataFrame:
     return rows.orderBy(F.desc("flagged"), F.col(key) <= cursor, key).limit(capacity).select(key)
 
 
-def monitor_releases(ledger: Ledger) -> DataFrame:
-    """(monitor_id, released_at): for settled monitors, the sequence of the last root to be created."""
-    done = monitor_settlement(ledger).where("settled").select("monitor_id")
-    made = ledger.claims.select(F.col("claim_id").alias("root"), "created")
-    return ledger.monitor_roots.join(done, "monitor_id", "left_semi").join(made, "root").groupBy("monitor_id").agg(F.max("created").alias("released_at"))
+def first_terminal(deltas: DataFrame) -> DataFrame:
+    """(claim_id, status, at): the terminal status of each claim that has one, and the sequence at which it was reached."""
+    over = deltas.where(is_terminal(F.col("status")))
+    return over.groupBy("claim_id").agg(F.min_by("status", F.struct("sequence", "ordinal")).alias("status"), F.min("sequence").alias("at"))
+
+
+def monitor_releases(ledger: Ledger, released: DataFrame) -> DataFrame:
+    """(monitor_id, released_at): the sequence at which the last root of a monitor settles, or its owner (claim_id, at) is released before.
+
+    A root that must be satisfied settles when that is its terminal status, any other when it has one.
+    """
+    over = first_terminal(ledger.deltas).withColumnRenamed("claim_id", "root")
+    roots = ledger.monitor_roots.join(over, "root", "left")
+    met = F.coalesce(F.when(F.col("predicate") == 1, F.col("status") == vocab.SATISFIED).otherwise(F.col("at").isNotNull()), F.lit(False))
+    settled = roots.groupBy("monitor_id").agg(F.bool_and(met).alias("all"), F.max("at").alias("at")).where("all").select("monitor_id", "at")
+    owned = ledger.monitors.join(released.withColumnRenamed("claim_id", "owner"), "owner").select("monitor_id", "at")
+    return settled.union(owned).groupBy("monitor_id").agg(F.min("at").alias("released_at"))
 
 
 def reconcile(committed: DataFrame, requests: DataFrame, floor: int) -> DataFrame:

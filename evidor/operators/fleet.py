@@ -66,12 +66,19 @@ def range_faults(ranges: DataFrame) -> DataFrame:
     return loose.join(F.broadcast(last)).where(F.col("end") != F.col("last")).select("start")
 
 
-def balance(loads: DataFrame, target: int) -> DataFrame:
-    """(range, action): split where three observations in a row are above twice the target, merge where three are below a quarter."""
-    w = Window.partitionBy("range").orderBy("at").rowsBetween(-2, 0)
-    rows = loads.select("range", F.count("*").over(w).alias("n"), F.min("load").over(w).alias("lo"), F.max("load").over(w).alias("hi"))
-    action = F.when((F.col("n") == 3) & (F.col("lo") > 2 * target), "split").when((F.col("n") == 3) & (F.col("hi") < target / 4), "merge")
-    return rows.select("range", action.alias("action")).where("action IS NOT NULL").distinct()
+def balance(loads: DataFrame, above: int, below: int, most: int, streak: int = 3) -> DataFrame:
+    """(group, action, range): at most one change of each group of ranges, from the newest ``streak`` loads of each range.
+
+    The first range whose loads are all above the bound is split while the group has fewer than ``most``; else the first
+    of two neighbours whose loads are all below is merged with the next.
+    """
+    newest = loads.withColumn("_r", F.row_number().over(Window.partitionBy("group", "range").orderBy(F.desc("at")))).where(F.col("_r") <= streak)
+    full = F.count("*") == streak
+    rows = newest.groupBy("group", "range").agg((full & (F.min("load") > above)).alias("over"), (full & (F.max("load") < below)).alias("under"))
+    rows = rows.withColumn("pair", F.col("under") & F.coalesce(F.lead("under").over(Window.partitionBy("group").orderBy("range")), F.lit(False)))
+    first = rows.groupBy("group").agg(F.min(F.when(F.col("over"), F.col("range"))).alias("split"), F.min(F.when(F.col("pair"), F.col("range"))).alias("merge"), F.count("*").alias("n"))
+    splits = F.col("split").isNotNull() & (F.col("n") < most)
+    return first.where(splits | F.col("merge").isNotNull()).select("group", F.when(splits, "split").otherwise("merge").alias("action"), F.when(splits, F.col("split")).otherwise(F.col("merge")).alias("range"))
 
 
 def suspicion_deadline(suspects: DataFrame, most: float, least: float, expected: int) -> DataFrame:

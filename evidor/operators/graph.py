@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -13,10 +14,13 @@ from ..sources.ledger import Ledger
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the session's checkpoint folder; a local one is made only where none is set (tests)."""
+    """Cuts lineage through the session's checkpoint folder; only a session in one process makes a local one where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidor-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidor-"))
     return df.checkpoint(eager=True)
 
 
@@ -38,6 +42,17 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = Tru
     return reached
 
 
+def bounded(edges: DataFrame, roots: DataFrame, depth: int, nodes: int, forward: bool = True) -> DataFrame:
+    """(stop, nodes): why a traversal ends, and how many nodes its whole levels hold: NodeLimit, DepthLimit or Complete."""
+    levels = traverse(edges, roots, depth + 1, forward).groupBy("depth").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
+    levels = levels.withColumn("total", so_far)
+    inside = F.col("depth") <= depth
+    held = F.max(F.when(inside & (F.col("total") <= nodes), F.col("total")))
+    over, deeper = F.bool_or(inside & (F.col("total") > nodes)), F.bool_or(~inside)
+    return levels.agg(F.when(over, "NodeLimit").when(deeper, "DepthLimit").otherwise("Complete").alias("stop"), F.coalesce(held, F.lit(0)).alias("nodes"))
+
+
 def ancestors(edges: DataFrame, starts: DataFrame, most: int = 16) -> DataFrame:
     """(claim_id, ancestor, distance): causes of each start (claim_id), nearest first, at most ``most`` up."""
     cause = _cut(_pairs(edges, vocab.CAUSED_BY, "at", "up"))
@@ -181,40 +196,71 @@ def conflicts(writes: DataFrame, width: int) -> DataFrame:
 
 
 def families(ledger: Ledger, roots: DataFrame, most: int) -> DataFrame:
-    """(root, members, eligible): a claim with all it caused, of up to ``most`` members; eligible if all are terminal and released."""
+    """(root, members, eligible): a claim with all it caused, where that are up to ``most`` members.
+
+    A family is eligible if all members are terminal and released and no claim outside that is not refers to one of
+    them. A member is counted once, so a loop of causes ends; families that outgrow the bound are given up at once.
+    """
     cause = _cut(_pairs(ledger.edges, vocab.CAUSED_BY, "child", "id"))
-    at = found = _cut(roots.select(F.col("claim_id").alias("root"), F.col("claim_id").alias("id")))
+    at = found = _cut(roots.select(F.col("claim_id").alias("root"), F.col("claim_id").alias("id")).distinct())
     while True:
-        at = _cut(at.join(cause, "id").select("root", F.col("child").alias("id")))
+        at = _cut(at.join(cause, "id").select("root", F.col("child").alias("id")).distinct().join(found, ["root", "id"], "left_anti"))
         if at.isEmpty():
             break
-        found = _cut(found.union(at))
-    rows = found.join(ledger.claims.select(F.col("claim_id").alias("id"), (is_terminal(F.col("status")) & F.col("released")).alias("ok")), "id")
-    return rows.groupBy("root").agg(F.count("*").alias("members"), F.bool_and("ok").alias("eligible")).where(F.col("members") <= most)
+        both = found.union(at)
+        large = both.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root")
+        large = _cut(large)
+        found, at = _cut(both.join(large, "root", "left_anti")), at.join(large, "root", "left_anti")
+    done = ledger.claims.select(F.col("claim_id").alias("id"), (is_terminal(F.col("status")) & F.col("released")).alias("ok"))
+    others = ledger.edges.where(F.col("relation") != vocab.CAUSED_BY).join(done.where("NOT ok").select(F.col("id").alias("source")), "source", "left_semi")
+    outside = found.join(others.select(F.col("target").alias("id"), "source").distinct(), "id").select("root", F.col("source").alias("id")).join(found, ["root", "id"], "left_anti")
+    held = outside.select("root").distinct().withColumn("held", F.lit(True))
+    sized = found.join(done, "id").groupBy("root").agg(F.count("*").alias("members"), F.bool_and("ok").alias("ok"))
+    return sized.join(held, "root", "left").select("root", "members", (F.col("ok") & F.col("held").isNull()).alias("eligible"))
 
 
 def failure_origins(ledger: Ledger, starts: DataFrame, most: int = 16) -> DataFrame:
     """(claim_id, origin, steps): the first created failed claim among the dependencies of each start, up to ``most`` steps away."""
     deps = _cut(_pairs(ledger.edges, vocab.DEPENDS_ON, "at", "next"))
     failed = ledger.claims.where(F.col("status") > vocab.SATISFIED).select(F.col("claim_id").alias("at"), "created")
-    at, hits = starts.select("claim_id", F.col("claim_id").alias("at")), None
+    at = _cut(starts.select("claim_id", F.col("claim_id").alias("at")))
+    hits = [at.withColumn("steps", F.lit(0)).limit(0)]
     for k in range(1, most + 1):
         at = _cut(at.join(deps, "at").select("claim_id", F.col("next").alias("at")).distinct())
         if at.isEmpty():
             break
-        hit = at.withColumn("steps", F.lit(k))
-        hits = hit if hits is None else hits.union(hit)
-    best = hits.join(failed, "at").groupBy("claim_id").agg(F.min(F.struct("created", "at", "steps")).alias("b"))
+        hits.append(at.withColumn("steps", F.lit(k)))
+    best = reduce(DataFrame.union, hits).join(failed, "at").groupBy("claim_id").agg(F.min(F.struct("created", "at", "steps")).alias("b"))
     return best.select("claim_id", F.col("b.at").alias("origin"), F.col("b.steps").alias("steps"))
 
 
 def propagate(ledger: Ledger) -> DataFrame:
-    """(claim_id, status): all claims after dependency failures, the satisfaction fixpoint over what is left, in that order."""
+    """(claim_id, status, released): all claims after the consequences of their state have come to rest.
+
+    First dependencies fail, to the end. Then satisfaction, the release of claims whose caused ones are released, and the
+    release of monitors (owner released, or all roots settled) are repeated until nothing changes, as an open monitor
+    keeps its owner from being satisfied.
+    """
     failed = _cut(dependency_failed(ledger).select("claim_id", F.lit(vocab.DEPENDENCY_FAILED).alias("new")))
     claims = _cut(ledger.claims.join(failed, "claim_id", "left").withColumn("status", F.coalesce("new", "status")).drop("new"))
-    after = Ledger(**{**vars(ledger), "claims": claims})
-    reached = least_fixpoint(after).select("claim_id", F.lit(vocab.SATISFIED).alias("new"))
-    return claims.join(reached, "claim_id", "left").select("claim_id", F.coalesce("new", "status").alias("status"))
+    monitors = ledger.monitors
+    while True:
+        now = Ledger(**{**vars(ledger), "claims": claims, "monitors": monitors})
+        reached = _cut(least_fixpoint(now).where("round > 0").select("claim_id", F.lit(vocab.SATISFIED).alias("new")))
+        claims = claims.join(reached, "claim_id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
+        free = _cut(release_cascade(Ledger(**{**vars(now), "claims": claims})).select("claim_id", F.lit(True).alias("free")))
+        claims = _cut(claims.join(free, "claim_id", "left").withColumn("released", F.coalesce("free", "released")).drop("free"))
+        held = monitors.where("NOT released").select("monitor_id", "owner")
+        state = claims.select(F.col("claim_id").alias("root"), "status")
+        open_roots = ledger.monitor_roots.join(state, "root", "left")
+        unmet = ~F.coalesce(F.when(F.col("predicate") == 1, F.col("status") == vocab.SATISFIED).otherwise(is_terminal(F.col("status"))), F.lit(False))
+        waiting = held.join(open_roots.where(unmet).select("monitor_id"), "monitor_id", "left_semi")
+        waiting = waiting.join(claims.where("released").select(F.col("claim_id").alias("owner")), "owner", "left_anti").select("monitor_id", F.lit(False).alias("still"))
+        before = monitors
+        monitors = _cut(monitors.join(waiting, "monitor_id", "left").withColumn("released", F.coalesce("still", F.lit(True))).drop("still"))
+        moved = before.where("NOT released").join(monitors.where("released").select("monitor_id"), "monitor_id", "left_semi")
+        if moved.isEmpty():
+            return claims.select("claim_id", "status", "released")
 
 
 def components_of_cycles(edges: DataFrame) -> DataFrame:

@@ -62,6 +62,12 @@ def rtt_tail(samples: DataFrame, size: int = 16, least: int = 1000) -> DataFrame
     return rows.select("worker", "request", "median", "mad", (F.col("median") + F.greatest(4 * F.col("mad"), F.lit(least))).alias("tail"))
 
 
+def tick_pace(samples: DataFrame, election: int, period: int) -> DataFrame:
+    """(worker, period, steady): the least tick period whose ``election`` ticks are ten tails of the newest round trips, and whether ``period`` is enough."""
+    newest = rtt_tail(samples).groupBy("worker").agg(F.max_by("tail", "request").alias("tail"))
+    return newest.select("worker", F.ceil(10 * F.col("tail") / election).alias("period"), (F.lit(election * period) >= 10 * F.col("tail")).alias("steady"))
+
+
 def rtt_ewma(samples: DataFrame) -> DataFrame:
     """(worker, smoothed, variation): integer smoothing by eighths and quarters over a worker's samples in order.
 

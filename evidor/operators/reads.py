@@ -66,12 +66,13 @@ def after(table: DataFrame, keys: list[str], cursor: tuple, limit: int) -> DataF
     return table.where(beyond).orderBy(*keys).limit(limit)
 
 
-def by_claim(ledger: Ledger, claims: DataFrame) -> DataFrame:
-    """(kind, id, claim_id): claims, validations and responses of the wanted claims (claim_id)."""
+def by_claim(ledger: Ledger, claims: DataFrame, attached: DataFrame) -> DataFrame:
+    """(kind, id, claim_id): claims, responses, validations and attached artifacts (claim_id, artifact_id) of the wanted claims (claim_id)."""
     families = (ledger.claims.select(F.lit(1).alias("kind"), F.col("claim_id").alias("id"), "claim_id"),
                 ledger.responses.select(F.lit(2), F.col("cycle"), "claim_id"),
-                ledger.validations.select(F.lit(3), "validation_id", "claim_id"))
-    return families[0].union(families[1]).union(families[2]).join(claims, "claim_id", "left_semi").select("kind", "id", "claim_id")
+                ledger.validations.select(F.lit(3), "validation_id", "claim_id"),
+                attached.join(ledger.artifacts.select("artifact_id"), "artifact_id").select(F.lit(4), "artifact_id", "claim_id"))
+    return families[0].union(families[1]).union(families[2]).union(families[3]).join(claims, "claim_id", "left_semi").select("kind", "id", "claim_id")
 
 
 def validation_results(verdicts: DataFrame, validations: DataFrame) -> DataFrame:

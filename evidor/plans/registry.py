@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars
-from ..operators import derive, fleet, graph, measure, reads
+from ..operators import commands, derive, fleet, graph, measure, reads
 from ..sources.ledger import Ledger, duckdb_prefix, sample_ledger
 from ..streaming import deltas as stream
+from . import commands as proposed
+from . import lists as listed
 
 Query = Callable[[Ledger], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -28,6 +30,11 @@ def query(name: str, sql: str | None):
     return put
 
 
+def _without(L: Ledger, edges: DataFrame, end: str) -> DataFrame:
+    """(id): the claims that are at this end of none of the edges."""
+    return L.claims.select(F.col("claim_id").alias("id")).join(edges.select(F.col(end).alias("id")), "id", "left_anti")
+
+
 def _rows(L: Ledger, sql: str) -> DataFrame:
     return L.claims.sparkSession.sql(sql)
 
@@ -41,8 +48,10 @@ query("get_objects", "SELECT ord, w.claim_id, c.claim_id IS NOT NULL AS found FR
 query("identity_lookup", "SELECT hash, min(artifact_id) AS artifact_id FROM artifacts WHERE hash IN (SELECT hash FROM artifacts WHERE artifact_id % 10 = 3) GROUP BY hash")(
     lambda L: reads.identity_lookup(L.artifacts, L.artifacts.where("artifact_id % 10 = 3").select("hash")))
 query("scan_objects", "SELECT claim_id, status, created FROM claims")(lambda L: L.claims.select("claim_id", "status", "created").orderBy("claim_id"))
-query("scan_by_claim", "SELECT * FROM (SELECT 1 AS kind, claim_id AS id, claim_id FROM claims UNION ALL SELECT 2, cycle, claim_id FROM responses UNION ALL SELECT 3, validation_id, claim_id FROM validations) WHERE claim_id % 9 = 2")(
-    lambda L: reads.by_claim(L, L.claims.where("claim_id % 9 = 2").select("claim_id").union(L.responses.where("claim_id % 9 = 2").select("claim_id")).union(L.validations.where("claim_id % 9 = 2").select("claim_id")).distinct()))
+query("scan_by_claim", """SELECT 1 AS kind, claim_id AS id, claim_id FROM claims UNION ALL SELECT 2, cycle, claim_id FROM responses UNION ALL SELECT 3, validation_id, claim_id FROM validations
+    UNION ALL SELECT 4, artifact_id, claim_id FROM artifacts JOIN responses ON cycle = 1 AND artifact_id = claim_id""")(
+    lambda L: reads.by_claim(L, L.claims.select("claim_id").union(L.responses.select("claim_id")).union(L.validations.select("claim_id")).distinct(),
+                             L.responses.where("cycle = 1").select("claim_id", F.col("claim_id").alias("artifact_id"))))
 query("scan_status", "SELECT claim_id, issuer FROM claims WHERE status = 8")(lambda L: reads.list_family(L, "claims", status=8).select("claim_id", "issuer"))
 query("scan_deadlines_through", f"SELECT claim_id, deadline_at FROM claims WHERE status < 8 AND deadline_at <= {DUE}")(lambda L: reads.deadlines_through(L.claims, DUE))
 query("scan_required", "SELECT phase, validation_id FROM validations WHERE claim_id = 33 AND mode = 2")(lambda L: reads.required(L.validations, 33))
@@ -162,16 +171,17 @@ query("half_split", f"SELECT half, max(n) AS n, {_PICK.format(q=500, p='p50')},
 
 query("edges_by_relation", "SELECT relation, count(*) AS n, count(DISTINCT target) AS targets FROM edges GROUP BY 1")(
     lambda L: L.edges.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("target").alias("targets")))
-_ROOTS = "SELECT claim_id AS id FROM claims WHERE claim_id % 1500 = 0"
+_ROOTS = "SELECT claim_id AS id FROM claims WHERE claim_id NOT IN (SELECT source FROM edges WHERE relation = 8)"
+_LEAVES = "SELECT claim_id AS id FROM claims WHERE claim_id NOT IN (SELECT target FROM edges WHERE relation IN (6, 7))"
 query("traverse_bfs", f""", walk AS (SELECT id, 0 AS depth FROM ({_ROOTS}) UNION SELECT source, depth + 1 FROM walk JOIN edges ON target = id WHERE depth < 3)
     SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY 1""")(
-    lambda L: graph.traverse(L.edges, L.claims.where("claim_id % 1500 = 0").select(F.col("claim_id").alias("id")), 3, forward=False))
-query("traverse_relations", f""", walk AS (SELECT id, 0 AS depth FROM ({_ROOTS.replace('1500 = 0', '1500 = 1499')}) UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = id WHERE depth < 20 AND relation IN (6, 7))
+    lambda L: graph.traverse(L.edges, _without(L, L.edges.where("relation = 8"), "source"), 3, forward=False))
+query("traverse_relations", f""", walk AS (SELECT id, 0 AS depth FROM ({_LEAVES}) UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = id WHERE depth < 20 AND relation IN (6, 7))
     SELECT id, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY 1""")(
-    lambda L: graph.traverse(L.edges, L.claims.where("claim_id % 1500 = 1499").select(F.col("claim_id").alias("id")), 20, relations=(6, 7)))
-query("lineage_ancestors", """, up AS (SELECT source AS claim_id, target AS ancestor, 1 AS distance FROM edges WHERE relation = 8 AND source % 11 = 4
+    lambda L: graph.traverse(L.edges, _without(L, L.edges.where("relation IN (6, 7)"), "target"), 20, relations=(6, 7)))
+query("lineage_ancestors", """, up AS (SELECT source AS claim_id, target AS ancestor, 1 AS distance FROM edges WHERE relation = 8
     UNION ALL SELECT claim_id, target, distance + 1 FROM up JOIN edges ON source = ancestor AND relation = 8 WHERE distance < 16) SELECT claim_id, ancestor, CAST(distance AS INT) AS distance FROM up""")(
-    lambda L: graph.ancestors(L.edges, L.claims.where("claim_id % 11 = 4").select("claim_id")))
+    lambda L: graph.ancestors(L.edges, L.claims.select("claim_id")))
 query("lineage_followers", "SELECT DISTINCT source AS follower, relation FROM edges WHERE target = 21 AND relation IN (8, 9, 15)")(lambda L: graph.followers(L.edges, 21))
 query("least_fixpoint", None)(graph.least_fixpoint)
 query("dependency_failed", """, bad AS (SELECT claim_id AS id, 0 AS k FROM claims WHERE status > 8
@@ -181,8 +191,14 @@ query("dependency_failed", """, bad AS (SELECT claim_id AS id, 0 AS k FROM claim
     FROM first f JOIN edges e ON e.source = f.id AND relation = 6 JOIN first g ON g.id = e.target AND g.k = f.k - 1 JOIN claims c ON c.claim_id = e.target WHERE f.k > 0) WHERE r = 1""")(graph.dependency_failed)
 query("cancel_closure", """, below AS (SELECT 3 AS id UNION ALL SELECT source FROM below JOIN edges ON target = id AND relation = 8)
     SELECT claim_id, CASE WHEN claim_id = 3 THEN 17 ELSE 15 END AS status FROM below JOIN claims ON claim_id = id WHERE status < 8 OR claim_id = 3""")(lambda L: graph.cancel_closure(L, 3, 17))
-query("release_cascade", None)(graph.release_cascade)
-query("acyclic_check", "SELECT source AS id FROM edges WHERE FALSE")(lambda L: graph.cyclic(L.edges))
+query("release_cascade", """, o AS (SELECT claim_id, status FROM claims WHERE NOT released), p AS (SELECT source, target FROM edges WHERE relation = 8 AND target IN (SELECT claim_id FROM o)),
+    up AS (SELECT claim_id AS id, status, claim_id AS top, 0 AS k FROM o UNION ALL SELECT id, status, target, k + 1 FROM up JOIN p ON source = top)
+    SELECT top AS claim_id, CAST(max(k) + 1 AS INT) AS round FROM up GROUP BY 1 HAVING bool_and(status >= 8)""")(graph.release_cascade)
+_BACK = "SELECT claim_id AS source, target FROM (SELECT claim_id, claim_id * 64 + 9 AS target FROM claims WHERE claim_id IN (1, 2)) WHERE target IN (SELECT claim_id FROM claims)"
+query("acyclic_check", f""", g AS (SELECT DISTINCT source, target FROM edges WHERE relation IN (5, 8, 13) UNION {_BACK}), walk AS (SELECT source AS s, target AS t FROM g UNION SELECT s, target FROM walk JOIN g ON source = t)
+    SELECT DISTINCT s AS id FROM walk WHERE t IN (SELECT s FROM walk WHERE s = t)""")(
+    lambda L: graph.cyclic(L.edges.unionByName(L.claims.where("claim_id IN (1, 2)").select(F.col("claim_id").alias("source"), F.lit(8).alias("relation"), (F.col("claim_id") * 64 + 9).alias("target"), "created")
+                                               .join(L.claims.select(F.col("claim_id").alias("target")), "target", "left_semi").withColumnRenamed("created", "introduced"))))
 query("cycle_members", """, r AS (SELECT DISTINCT source, target FROM edges WHERE relation = 7) SELECT a.source AS id FROM r a JOIN r b ON a.target = b.source AND b.target = a.source""")(lambda L: graph.cyclic(L.edges, (vocab.AWAITS,)))
 query("wait_neighbors", """SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE relation IN (6, 7) UNION ALL SELECT owner, root FROM monitors JOIN monitor_roots USING (monitor_id) WHERE NOT released)
     JOIN claims a ON a.claim_id = source JOIN claims b ON b.claim_id = target WHERE a.status < 8 AND b.status < 8""")(graph.wait_edges)
@@ -224,9 +240,13 @@ query("leader_move", f""", s AS ({_SESSIONS}), led AS (SELECT coalesce(pending,
     lambda L: fleet.leader_moves(_sessions(L), L.claims.select(F.col("claim_id").alias("session"), F.explode(F.array(F.col("claim_id") % 7, (F.col("claim_id") + 1) % 7, (F.col("claim_id") + 3) % 9)).alias("node"))))
 query("range_map_valid", "SELECT claim_id * 10 AS start FROM claims WHERE claim_id IN (199, 499)")(
     lambda L: fleet.range_faults(L.claims.where("claim_id NOT IN (200, 500)").select((F.col("claim_id") * 10).alias("start"), (F.col("claim_id") * 10 + 10).alias("end"))))
-query("range_balance", """SELECT DISTINCT "range", CASE WHEN lo > 80000 THEN 'split' ELSE 'merge' END AS action FROM (SELECT worker AS "range", count(*) OVER w AS n, min(latency) OVER w AS lo, max(latency) OVER w AS hi
-    FROM samples WINDOW w AS (PARTITION BY worker ORDER BY request ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE n = 3 AND (lo > 80000 OR hi < 10000)""")(
-    lambda L: fleet.balance(L.samples.select(F.col("worker").alias("range"), F.col("request").alias("at"), F.col("latency").alias("load")), 40_000))
+query("range_balance", """, last AS (SELECT worker, min(latency) AS lo, max(latency) AS hi, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY request DESC) AS r FROM samples) WHERE r <= 3 GROUP BY 1),
+    m AS (SELECT worker % 10 AS "group", worker AS "range", n = 3 AND lo > 40000 AS over, n = 3 AND hi < 30000 AS under FROM last),
+    p AS (SELECT *, under AND coalesce(lead(under) OVER (PARTITION BY "group" ORDER BY "range"), FALSE) AS pair FROM m)
+    SELECT "group", CASE WHEN count(CASE WHEN over THEN 1 END) > 0 AND count(*) < 1000 THEN 'split' ELSE 'merge' END AS action,
+           CASE WHEN count(CASE WHEN over THEN 1 END) > 0 AND count(*) < 1000 THEN min(CASE WHEN over THEN "range" END) ELSE min(CASE WHEN pair THEN "range" END) END AS "range"
+    FROM p GROUP BY 1 HAVING (count(CASE WHEN over THEN 1 END) > 0 AND count(*) < 1000) OR count(CASE WHEN pair THEN 1 END) > 0""")(
+    lambda L: fleet.balance(L.samples.select((F.col("worker") % 10).alias("group"), F.col("worker").alias("range"), F.col("request").alias("at"), F.col("latency").alias("load")), 40_000, 30_000, 1000))
 query("suspicion_deadline", """SELECT worker AS node, round(min(start) / 1e6 + greatest(30 - 25 * ln(count(DISTINCT CASE WHEN request % 13 <> worker % 13 THEN request % 13 END) + 1.0) / ln(21.0), 5), 6) AS deadline FROM samples GROUP BY 1""")(
     lambda L: fleet.suspicion_deadline(L.samples.select(F.col("worker").alias("node"), (F.col("start") / 1e6).alias("start"), (F.col("request") % 13).alias("by"), (F.col("worker") % 13).alias("origin")), 30.0, 5.0, 20))
 
@@ -247,7 +267,9 @@ query("consumer_dedup", "SELECT sequence, ordinal FROM deltas")(lambda L: stream
 query("claim_wait", "SELECT claim_id, CASE WHEN status = 8 THEN 'Met' WHEN status > 8 THEN 'Unmet' ELSE 'Pending' END AS satisfied, CASE WHEN status >= 8 THEN 'Met' ELSE 'Pending' END AS terminal, CASE WHEN released THEN 'Met' ELSE 'Pending' END AS released FROM claims")(
     lambda L: L.claims.select("claim_id", F.when(F.col("status") == vocab.SATISFIED, "Met").when(scalars.is_terminal(F.col("status")), "Unmet").otherwise("Pending").alias("satisfied"),
                               F.when(scalars.is_terminal(F.col("status")), "Met").otherwise("Pending").alias("terminal"), F.when(F.col("released"), "Met").otherwise("Pending").alias("released")))
-query("replay", None)(lambda L: stream.replay(L.deltas))
+query("replay", """, r AS (SELECT claim_id, status, max(status) OVER w AS best FROM deltas WINDOW w AS (PARTITION BY claim_id ORDER BY sequence, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT claim_id, status, best IS NULL OR (best < 8 AND status >= best) AS ok FROM r)
+    SELECT claim_id, CAST(max(CASE WHEN ok THEN status END) AS BIGINT) AS status, count(CASE WHEN ok THEN 1 END) AS changes, count(CASE WHEN NOT ok THEN 1 END) AS refused FROM k GROUP BY 1""")(lambda L: stream.replay(L.deltas))
 
 # Further reads, checks and planners
 
@@ -261,25 +283,30 @@ query("receipt_chain", "SELECT claim_id, max(cycle) AS epoch, count(*) AS adopti
 query("required_schema_cover", "SELECT producer, count(DISTINCT kind) FILTER (WHERE kind IN ('en', 'de', 'fr', 'es')) = 4 AS covered FROM artifacts GROUP BY 1")(lambda L: derive.covers(L.artifacts, "producer", "kind", ("en", "de", "fr", "es")))
 query("response_outcome", f"""WITH {_RUNS}, j AS (SELECT claim_id, validation_id, final FROM validations LEFT JOIN runs USING (validation_id) WHERE mode = 2)
     SELECT claim_id, min(CASE WHEN final > 1 THEN validation_id END) AS cause, CASE WHEN count(CASE WHEN final > 1 THEN 1 END) > 0 THEN 'Blocked' WHEN bool_and(coalesce(final = 1, FALSE)) THEN 'Validated' ELSE 'Evaluating' END AS outcome FROM j GROUP BY 1""")(derive.response_outcomes)
-query("delivery_report", f"SELECT outcome, max(n) AS n, {_PICK.format(q=500, p='p50')}, {_PICK.format(q=950, p='p95')}, max(latency) AS max FROM ({_RANKED.format(k='outcome', t='samples WHERE worker % 2 = 0')}) GROUP BY 1")(
-    lambda L: measure.nearest_rank(L.samples.where("worker % 2 = 0"), ["outcome"], points={"p50": 500, "p95": 950}))
+query("delivery_report", f"SELECT outcome, max(n) AS n, {_PICK.format(q=500, p='p50')}, {_PICK.format(q=950, p='p95')}, max(latency) AS max FROM ({_RANKED.format(k='outcome', t="samples WHERE outcome IN ('purchase', 'refund', 'click')")}) GROUP BY 1")(
+    lambda L: measure.nearest_rank(L.samples.where("outcome IN ('purchase', 'refund', 'click')"), ["outcome"], points={"p50": 500, "p95": 950}))
 query("percentiles_approximate", None)(lambda L: L.samples.groupBy("outcome").agg(*(F.percentile_approx("latency", p / 1000, 1000).alias(n) for n, p in measure.POINTS.items())))
 query("metrics_choose", """SELECT claim_id FROM (SELECT claim_id, status = 13 AS flagged FROM claims) ORDER BY NOT flagged, claim_id <= 400, claim_id LIMIT 3000""")(
     lambda L: derive.choose(L.claims.select("claim_id", (F.col("status") == 13).alias("flagged")), "claim_id", 400, 3000))
 query("session_survey", "SELECT region, count(*) AS hosted, count(*) FILTER (WHERE NOT alive) AS stopped, count(*) FILTER (WHERE load > 5000) AS stretched, max(load) AS worst FROM nodes GROUP BY 1")(
     lambda L: L.nodes.groupBy("region").agg(F.count("*").alias("hosted"), F.count_if(~F.col("alive")).alias("stopped"), F.count_if(F.col("load") > 5000).alias("stretched"), F.max("load").alias("worst")))
-query("monitor_release", """SELECT monitor_id, max(created) AS released_at FROM monitor_roots JOIN claims ON claim_id = root GROUP BY monitor_id
-    HAVING bool_and(CASE WHEN predicate = 1 THEN status = 8 ELSE status >= 8 END) AND count(*) = (SELECT count(*) FROM monitor_roots r WHERE r.monitor_id = monitor_roots.monitor_id)""")(derive.monitor_releases)
+query("monitor_release", """, t AS (SELECT claim_id, arg_min(status, sequence * 10 + ordinal) AS status, min(sequence) AS reached FROM deltas WHERE status >= 8 GROUP BY 1),
+    settled AS (SELECT monitor_id, max(t.reached) AS reached FROM monitor_roots LEFT JOIN t ON t.claim_id = root GROUP BY 1 HAVING bool_and(coalesce(CASE WHEN predicate = 1 THEN status = 8 ELSE TRUE END AND reached IS NOT NULL, FALSE))),
+    owned AS (SELECT monitor_id, reached FROM monitors JOIN t ON t.claim_id = owner JOIN claims c ON c.claim_id = owner AND c.released)
+    SELECT monitor_id, min(reached) AS released_at FROM (SELECT * FROM settled UNION ALL SELECT * FROM owned) GROUP BY 1""")(
+    lambda L: derive.monitor_releases(L, derive.first_terminal(L.deltas).join(L.claims.where("released"), "claim_id", "left_semi").select("claim_id", "at")))
 query("reconcile_request", "SELECT w.request, CASE WHEN s.request IS NOT NULL THEN 'Committed' WHEN w.request < 300 THEN 'BelowFloor' ELSE 'Unknown' END AS outcome FROM (SELECT range * 3 AS request FROM range(400)) w LEFT JOIN (SELECT request FROM samples WHERE request % 2 = 0) s ON s.request = w.request")(
     lambda L: derive.reconcile(L.samples.where("request % 2 = 0"), _rows(L, "SELECT id * 3 AS request FROM range(400)"), 300))
 query("history_check", """SELECT sequence, count(*) AS changes, count(*) = max(ordinal) + 1 AS whole, count(DISTINCT event_id) = count(*) AS once FROM deltas GROUP BY 1""")(
     lambda L: L.deltas.groupBy("sequence").agg(F.count("*").alias("changes"), (F.count("*") == F.max("ordinal") + 1).alias("whole"), (F.count_distinct("event_id") == F.count("*")).alias("once")))
-query("retirement_family", """, below AS (SELECT claim_id AS root, claim_id AS id FROM claims WHERE claim_id % 16 = 1 UNION ALL SELECT root, source FROM below JOIN edges ON target = id AND relation = 8)
-    SELECT root, count(*) AS members, bool_and(status >= 8 AND released) AS eligible FROM below JOIN claims ON claim_id = id GROUP BY 1 HAVING count(*) <= 64""")(
-    lambda L: graph.families(L, L.claims.where("claim_id % 16 = 1").select("claim_id"), 64))
-query("failure_path", """, p AS (SELECT source AS claim_id, target AS node, 1 AS steps FROM edges WHERE relation = 6 AND source % 20 = 9 UNION ALL SELECT claim_id, target, steps + 1 FROM p JOIN edges ON source = node AND relation = 6 WHERE steps < 16)
+query("retirement_family", """, below AS (SELECT claim_id AS root, claim_id AS id FROM claims UNION ALL SELECT root, source FROM below JOIN edges ON target = id AND relation = 8)
+    , held AS (SELECT b.root FROM below b JOIN edges e ON e.target = b.id AND e.relation <> 8 JOIN claims k ON k.claim_id = e.source AND NOT (k.status >= 8 AND k.released)
+      WHERE NOT EXISTS (SELECT 1 FROM below o WHERE o.root = b.root AND o.id = e.source))
+    SELECT root, count(*) AS members, bool_and(status >= 8 AND released) AND root NOT IN (SELECT root FROM held) AS eligible FROM below JOIN claims ON claim_id = id GROUP BY 1 HAVING count(*) <= 64""")(
+    lambda L: graph.families(L, L.claims.select("claim_id"), 64))
+query("failure_path", """, p AS (SELECT source AS claim_id, target AS node, 1 AS steps FROM edges WHERE relation = 6 UNION SELECT claim_id, target, steps + 1 FROM p JOIN edges ON source = node AND relation = 6 WHERE steps < 16)
     SELECT claim_id, origin, steps FROM (SELECT p.claim_id, node AS origin, CAST(steps AS INT) AS steps, row_number() OVER (PARTITION BY p.claim_id ORDER BY created, node, steps) AS r FROM p JOIN claims c ON c.claim_id = node WHERE status > 8) WHERE r = 1""")(
-    lambda L: graph.failure_origins(L, L.claims.where("claim_id % 20 = 9").select("claim_id")))
+    lambda L: graph.failure_origins(L, L.claims.select("claim_id")))
 query("propagate", None)(graph.propagate)
 query("choose_leader", """SELECT session, CASE WHEN best + 2 <= mine THEN other ELSE current END AS leader FROM (SELECT c.claim_id AS session, c.claim_id % 7 AS current, (c.claim_id + 3) % 7 AS other, a.n AS mine, b.n AS best
     FROM claims c JOIN (SELECT claim_id % 7 AS k, count(*) AS n FROM claims WHERE status < 8 GROUP BY 1) a ON a.k = c.claim_id % 7 JOIN (SELECT claim_id % 7 AS k, count(*) AS n FROM claims WHERE status < 8 GROUP BY 1) b ON b.k = (c.claim_id + 3) % 7)""")(
@@ -294,8 +321,10 @@ query("route_changes", """SELECT node_id, CASE WHEN zone % 3 = 0 THEN 'dropped'
     lambda L: fleet.cached_routes(L.nodes.select("node_id", "zone", (F.col("load") % 5).alias("epoch")), L.nodes.where("zone % 3 = 0").select("zone").distinct(), 2))
 query("range_replace", """SELECT claim_id * 10 AS start, CASE WHEN claim_id = 40 THEN 430 ELSE claim_id * 10 + 10 END AS "end", CASE WHEN claim_id = 40 THEN 2 ELSE 1 END AS generation FROM claims WHERE claim_id NOT IN (41, 42)""")(
     lambda L: fleet.merge_ranges(L.claims.select((F.col("claim_id") * 10).alias("start"), (F.col("claim_id") * 10 + 10).alias("end"), F.lit(1).alias("generation")), 400, 430))
-query("tick_pace", """SELECT worker, 10 * 300000 >= 10 * m AS steady FROM (SELECT worker, max(latency) AS m FROM samples GROUP BY 1)""")(
-    lambda L: L.samples.groupBy("worker").agg((F.lit(10 * 300_000) >= 10 * F.max("latency")).alias("steady")))
+query("tick_pace", """, v AS (SELECT worker, list_sort(list(latency)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY request DESC) AS r FROM samples) WHERE r <= 16 GROUP BY 1),
+    m AS (SELECT worker, v, v[len(v) // 2 + 1] AS m FROM v), d AS (SELECT worker, m, list_sort(list_transform(v, lambda x: abs(x - m)))[len(v) // 2 + 1] AS mad FROM m)
+    SELECT worker, CAST(ceil((10 * (m + greatest(4 * mad, 1000))) / 10.0) AS BIGINT) AS period, 10 * 300000 >= 10 * (m + greatest(4 * mad, 1000)) AS steady FROM d""")(
+    lambda L: measure.tick_pace(L.samples, 10, 300_000))
 query("span_intersection", "SELECT greatest(a.claim_id * 10, 333) AS lo, least(a.claim_id * 10 + 10, 777) AS hi FROM claims a WHERE greatest(a.claim_id * 10, 333) < least(a.claim_id * 10 + 10, 777)")(
     lambda L: derive.overlaps(L.claims.select((F.col("claim_id") * 10).alias("start"), (F.col("claim_id") * 10 + 10).alias("end")), 333, 777).toDF("lo", "hi"))
 query("windowed_changes", f"SELECT CAST(floor(start / {7 * DAY * 1.0}) AS BIGINT) AS week, outcome, count(*) AS n FROM samples GROUP BY 1, 2")(
@@ -320,7 +349,11 @@ query("network_distance", """SELECT a.node_id AS one, b.node_id AS two, round(sq
 query("assignment_phase", "SELECT outcome, CASE outcome WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 7 END AS rank, coalesce(CASE outcome WHEN 'signup' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 7 END >= 3, FALSE) AS at_least, count(*) AS n FROM samples GROUP BY ALL")(
     lambda L: L.samples.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("rank", fleet.phase_rank(F.when(F.col("outcome") == "signup", "Offered").when(F.col("outcome") == "view", "Seeding").when(F.col("outcome") == "purchase", "Serving").otherwise("Failed")))
     .select("outcome", "rank", F.coalesce(F.col("rank") >= 3, F.lit(False)).alias("at_least"), "n"))
-query("extension_grant", None)(lambda L: fleet.grants(L.samples.select("worker", "start", F.col("latency").alias("load"), "request"), 1 << 20, 5, DAY, 90_000))
+query("extension_grant", f""", q AS (SELECT worker, start, latency, row_number() OVER (PARTITION BY worker ORDER BY start, request) AS i FROM samples),
+    f AS (SELECT worker, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS total FROM q WHERE q.i = 1
+    UNION ALL SELECT worker, i, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN start ELSE last END, CASE WHEN ok THEN total + greatest(1048576 >> n, 131072) ELSE total END
+    FROM (SELECT f.worker, q.i, n, last, total, start, latency <= 90000 AND n < 5 AND (last IS NULL OR start - last >= {DAY}) AS ok FROM f JOIN q ON q.worker = f.worker AND q.i = f.i + 1))
+    SELECT worker, max(n) AS granted, CAST(max(total) AS BIGINT) AS extension FROM f GROUP BY 1""")(lambda L: fleet.grants(L.samples.select("worker", "start", F.col("latency").alias("load"), "request"), 1 << 20, 5, DAY, 90_000))
 
 # Scalars
 
@@ -345,6 +378,16 @@ def _consumers(L: Ledger) -> DataFrame:
         (user % 5 == 0).alias("protected"), (user * 10).alias("expires"), (user % 7 == 3).alias("resync"))
 
 
+# Guards of commands
+
+for _name in commands.GUARDS:
+    query(f"command_{_name}", proposed.sql(_name))(lambda L, n=_name: proposed.run(L, n))
+
+
+for _name, (_query, _text) in listed.QUERIES.items():
+    query(_name, _text)(_query)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, f=f: f(sample_ledger(spark, sf_dir)) for name, (f, _) in _FOUND.items()}
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..vocab import FIRST_TERMINAL
+
 #: Ordinal of a position that stands after every change of its sequence.
 RESOLVED = (1 << 62)
 #: Sequences that a consumer may lag behind before it has to start again.
@@ -78,31 +80,12 @@ def status_stream(deltas: DataFrame) -> DataFrame:
 def replay(deltas: DataFrame) -> DataFrame:
     """(claim_id, status, changes, refused): the claim lifecycle folded in order; a change after a terminal status, or to a lower one, is refused.
 
-    Claims are folded apart from each other; one claim's changes are read in order, a batch at a time.
+    A refused change is below the highest so far or behind a terminal one, so the highest status before a change decides.
     """
-    ordered = deltas.select("claim_id", "sequence", "ordinal", "status").repartition("claim_id").sortWithinPartitions("claim_id", "sequence", "ordinal")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, status, n, refused, out = None, 0, 0, 0, []
-        for batch in batches:
-            for claim, new in zip(batch["claim_id"].tolist(), batch["status"].tolist()):
-                if claim != at:
-                    if at is not None:
-                        out.append((at, status, n, refused))
-                    at, status, n, refused = claim, 0, 0, 0
-                if status >= 8 or new < status:
-                    refused += 1
-                else:
-                    status, n = new, n + 1
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["claim_id", "status", "changes", "refused"])
-                out = []
-        if at is not None:
-            out.append((at, status, n, refused))
-        if out:
-            yield pd.DataFrame(out, columns=["claim_id", "status", "changes", "refused"])
-
-    return ordered.mapInPandas(fold, "claim_id long, status long, changes long, refused long")
+    before = F.max("status").over(Window.partitionBy("claim_id").orderBy("sequence", "ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    kept = F.col("before").isNull() | ((F.col("before") < FIRST_TERMINAL) & (F.col("status") >= F.col("before")))
+    rows = deltas.select("claim_id", F.col("status").cast("bigint").alias("status"), before.cast("bigint").alias("before")).withColumn("kept", kept)
+    return rows.groupBy("claim_id").agg(F.max(F.when(F.col("kept"), F.col("status"))).alias("status"), F.count_if("kept").alias("changes"), F.count_if(~F.col("kept")).alias("refused"))
 
 
 def cursor_registry(commands: DataFrame) -> DataFrame:

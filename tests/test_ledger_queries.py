@@ -2,6 +2,7 @@
 
 import glob
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -89,9 +90,25 @@ def test_propagate(spark):
         if not hit:
             break
         status |= dict.fromkeys(hit, 19)
-    done = brute_fixpoint(claims, edges, monitors, roots, status)
-    want = {i: 8 if i in done else s for i, s in status.items()}
-    assert {r.claim_id: r.status for r in registry.queries()["propagate"](spark, SF).collect()} == want
+    released = {i for i, r in claims.items() if r.released}
+    held = {i: SimpleNamespace(owner=m.owner, released=m.released) for i, m in monitors.items()}
+    children = {}
+    for e in edges:
+        if e.relation == 8:
+            children.setdefault(e.target, []).append(e.source)
+    while True:
+        before = (dict(status), set(released), [m.released for m in held.values()])
+        status |= dict.fromkeys(brute_fixpoint(claims, edges, held, roots, status), 8)
+        while new := {i for i, s in status.items() if s >= 8 and i not in released and all(c in released for c in children.get(i, ()))}:
+            released |= new
+        for i, m in held.items():
+            own = [r for r in roots if r.monitor_id == i]
+            m.released = m.released or m.owner in released or all(status.get(r.root, 0) == 8 if r.predicate == 1 else status.get(r.root, 0) >= 8 for r in own)
+        if before == (status, released, [m.released for m in held.values()]):
+            break
+    got = {r.claim_id: (r.status, r.released) for r in registry.queries()["propagate"](spark, SF).collect()}
+    assert got == {i: (s, i in released) for i, s in status.items()}
+    assert any(m.released and not monitors[i].released for i, m in held.items())
 
 
 def test_replay(spark):

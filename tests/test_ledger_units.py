@@ -176,3 +176,55 @@ def test_rtt_ewma_is_folded_without_collecting(spark):
         assert {r.worker: (r.smoothed, r.variation) for r in got.collect()} == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_families_end_on_loops_and_at_the_bound(spark, sf):
+    L = sample_ledger(spark, sf)
+    ids = [r.claim_id for r in L.claims.orderBy("claim_id").limit(6).collect()]
+    loop = [(ids[0], 8, ids[1]), (ids[1], 8, ids[0])] + [(i, 8, ids[2]) for i in ids[3:]]
+    edges = spark.createDataFrame([(*e, 1) for e in loop], "source long, relation int, target long, introduced long")
+    got = {r.root: r.members for r in graph.families(Ledger(**{**vars(L), "edges": edges}), L.claims.where(F.col("claim_id").isin(ids)).select("claim_id"), 3).collect()}
+    assert got == {ids[0]: 2, ids[1]: 2, **{i: 1 for i in ids[3:]}}
+
+
+def test_failure_origins_of_nothing(spark, sf):
+    L = sample_ledger(spark, sf)
+    assert graph.failure_origins(L, L.claims.limit(0).select("claim_id")).count() == 0
+
+
+def test_commands_give_every_reason(spark, sf):
+    from evidor.operators.commands import GUARDS, outcomes
+    from evidor.plans import commands
+
+    L = sample_ledger(spark, sf)
+    for name in GUARDS:
+        got = {r.outcome.split(":")[0] for r in commands.run(L, name).select("outcome").distinct().collect()}
+        assert len(got) > 1, name
+    # the holder of the newest receipt
+    newest = L.responses.groupBy("claim_id").agg(F.max("cycle").cast("long").alias("n")).join(L.claims, "claim_id").orderBy("claim_id").limit(5)
+    for name, status, applied in (("record_progress", 3, "Applied:4"), ("begin_evidence", 4, "Applied:4"), ("acknowledge_testament", 5, "Applied:6")):
+        state = Ledger(**{**vars(L), "claims": L.claims.withColumn("status", F.lit(status))})
+        actor = F.lit(0).cast("long") if name == "acknowledge_testament" else F.col("subject")
+        right = outcomes(state, name, newest.select("claim_id", actor.alias("actor"), "n"))
+        assert {r.outcome for r in right.collect()} == {applied}
+        wrong = outcomes(state, name, newest.select("claim_id", actor.alias("actor"), (F.col("n") + 1).alias("n")))
+        assert all(r.outcome.startswith("Refused:") for r in wrong.collect())
+    unknown = spark.createDataFrame([(-1, 0, 1)], "claim_id long, actor long, n long")
+    assert outcomes(L, "revoke", unknown).first().outcome == "Refused:UnknownObject"
+
+
+def test_balance_takes_one_change_of_current_streaks(spark):
+    from evidor.operators import fleet
+
+    loads = [(1, r, t, v) for r, values in {1: [9, 9, 9, 1, 1, 1], 2: [1, 1, 1], 3: [9, 1, 9, 9, 9]}.items() for t, v in enumerate(values)]
+    loads += [(2, r, t, 1) for r in (4, 5, 6) for t in range(3)] + [(3, 7, 0, 1), (3, 8, 0, 1)]
+    df = spark.createDataFrame(loads, "group long, range long, at long, load long")
+    assert {tuple(r) for r in fleet.balance(df, 5, 3, 10).collect()} == {(1, "split", 3), (2, "merge", 4)}
+    assert {tuple(r) for r in fleet.balance(df, 5, 3, 3).collect()} == {(1, "merge", 1), (2, "merge", 4)}
+
+
+def test_bounded_traversal(spark):
+    edges = spark.createDataFrame([(k, 6, k + 1) for k in range(5)], "source long, relation int, target long")
+    start = spark.createDataFrame([(0,)], "id long")
+    got = [tuple(graph.bounded(edges, start, d, n).first()) for d, n in ((9, 100), (2, 100), (9, 3))]
+    assert got == [("Complete", 6), ("DepthLimit", 3), ("NodeLimit", 3)]
