@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import wordhash as W
 from .common import cut, discard, fair_batches, maybe_in, stored
 from .components import components
-from .settle import SMALL, at_every_salt, dealt, shared_groups, small_pairs, star_pairs, still_open
+from .settle import at_every_salt, dealt, shared_groups, small_pairs, star_pairs, still_open
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees and values of a path; the share of links that the depth reached is to find, by the similarities of those found,
@@ -27,6 +27,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET, TARGET_LEAST = 12, 6, 0.9995, 0.99
 #: Documents of a block, and n-grams that a block may hold: larger documents come in smaller blocks.
 BLOCK, BLOCK_GRAMS = 512, 1 << 22
+#: Documents of a node up to which its open pairs are formed; more are compared block by block.
+SMALL = 8
 
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * W.U(2) + W.U(1)
@@ -273,7 +275,7 @@ def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
             grams = more if grams is None else grams.union(more)
             follow(star_pairs(rows))
             rows = still_open(rows.drop("root"), roots, 4)
-            follow(small_pairs(rows))
+            follow(small_pairs(rows, SMALL))
         if deep_enough(links, depth, threshold) if links is not None else found_share(threshold, depth) >= TARGET:
             break
     if roots is not None:
@@ -308,14 +310,16 @@ def membership(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     Only sets that occur more than once, and few others, are shuffled; a group's rows are dealt to salts.
     """
-    known = cut(sketches(docs, size))
+    known = stored(sketches(docs, size), "sketches")
     named = known.where("n > 0 AND doc_id IS NOT NULL")
     repeated = cut(named.groupBy("set1", "set2").agg(F.min("doc_id").alias("head_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
     flagged = maybe_in(known, "set1", repeated.select("set1"))
     alone = flagged.where("NOT _maybe").withColumn("head_id", F.col("doc_id"))
     some = flagged.where("_maybe").withColumn("salt", dealt("doc_id", "set1")).join(at_every_salt(repeated), ["set1", "set2", "salt"], "left")
     some = some.withColumn("head_id", F.when(F.col("n") > 0, F.coalesce("head_id", "doc_id")).otherwise(F.col("doc_id")))
-    return cut(alone.select("doc_id", "head_id", "n", "set1", "sig").union(some.select("doc_id", "head_id", "n", "set1", "sig")))
+    out = stored(alone.select("doc_id", "head_id", "n", "set1", "sig").union(some.select("doc_id", "head_id", "n", "set1", "sig")), "members")
+    discard(known)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
@@ -332,7 +336,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     twice = cut(heads.groupBy("id").agg(F.count("*").alias("c"), F.min("set1").alias("least")).where("c > 1").drop("c"))
     if not twice.isEmpty():
         heads = heads.join(twice, "id", "left").where("least IS NULL OR set1 = least").drop("least").dropDuplicates(["id"])
-    roots, links, grams = descend(docs, cut(heads), threshold, size)
+    heads = stored(heads, "heads")
+    roots, links, grams = descend(docs, heads, threshold, size)
+    discard(heads)
     if roots is None:
         return members.select("doc_id", "head_id", F.col("head_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     info = cut(roots.join(link_counts(roots, grams, threshold), "id", "left").withColumnRenamed("id", "head_id"))
