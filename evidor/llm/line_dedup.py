@@ -153,12 +153,17 @@ def mark(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return alone.unionByName(classed.join(first, at, "left").select("doc_id", "line_no", "line_class", F.col("_c").isNotNull().alias("kept")))
 
 
-def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with its columns, each text without the lines that are not kept; n_chars, where there is one, follows it."""
+def without_duplicates(docs: DataFrame, threshold: float = THRESHOLD, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` with its columns, each text without the lines that are not kept; n_chars, where there is one, follows it.
+
+    Without ``keep_emptied`` documents of which nothing but white space is left are dropped: all they said stands elsewhere.
+    """
     gone = mark(docs, threshold).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    if not keep_emptied:
+        out = out.where(F.col("_gone").isNull() | F.col("text").rlike(r"\S"))
     return out.select(*docs.columns)

@@ -24,6 +24,10 @@ from .common import cut, fair_batches
 POSITIVES, UNLABELLED, SELECTED = 4000, 8000, 512
 #: Lengths in bytes of the word starts that are features beside the whole words.
 STARTS = (4, 5, 6)
+#: Positives that a feature occurs in at least: fewer could be chance, whatever the sample's size.
+LEAST = 4
+#: A word's count and a text's length are saturating features: a word said 8 times marks a text as much as one said more
+#: often, and no text is so long that hits in it say nothing. Every word of a text is read and counted.
 MOST_COUNT, STEPS, RATE, DECAY = 8, 1000, 0.05, 1e-4
 #: A text's number of words counts as a feature in units of UNIT_WORDS, up to MOST_UNITS: a hit in a long text says less.
 UNIT_WORDS, MOST_UNITS = 250, 8
@@ -43,6 +47,15 @@ def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(out), np.minimum(np.diff(first) / UNIT_WORDS, MOST_UNITS)
 
 
+def risk_step(theta: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at ``theta`` and the direction to step against: its slope, or where the bracket is negative the bracket's, reversed."""
+    sp, su = 1 / (1 + np.exp(-xp @ theta)), 1 / (1 + np.exp(-xu @ theta))
+    slope_p = prior * ((sp * (1 - sp)) @ xp) / len(xp)
+    as_pos, as_neg = -slope_p, ((su * (1 - su)) @ xu) / len(xu) - slope_p
+    bracket = su.mean() - prior * sp.mean()
+    return prior * (1 - sp).mean() + max(0, bracket), as_pos + as_neg if bracket >= 0 else -as_neg
+
+
 class Detector:
     """Selected hashes in ascending order, their weights, the weight of a unit of length and the bias."""
 
@@ -70,11 +83,7 @@ class Detector:
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         xp, xu = (np.c_[np.ones(len(x), np.float32), x] for x in (pos, unl))
         for t in range(1, STEPS + 1):
-            sp, su = 1 / (1 + np.exp(-xp @ theta)), 1 / (1 + np.exp(-xu @ theta))
-            slope_p = prior * ((sp * (1 - sp)) @ xp) / len(xp)
-            as_pos, as_neg = -slope_p, ((su * (1 - su)) @ xu) / len(xu) - slope_p
-            risk = su.mean() - prior * sp.mean()
-            g = as_pos + as_neg if risk >= 0 else -as_neg
+            g = risk_step(theta, xp, xu, prior)[1]
             g[1:] += DECAY * theta[1:]
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -115,7 +124,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
         return detector
     each = sample.select("pos", F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("u"))
     expected = (F.col("u") + 0.5) * (n_pos / n_unl)
-    each = each.where(F.col("p") >= max(4, n_pos // 50)).withColumn("z", (F.col("p") - expected) / F.sqrt(expected)).where((F.col("z") > 4) & (F.col("p") > 3 * expected))
+    each = each.where(F.col("p") >= LEAST).withColumn("z", (F.col("p") - expected) / F.sqrt(expected)).where((F.col("z") > 4) & (F.col("p") > 3 * expected))
     detector = Detector(np.array([r.h for r in each.orderBy(F.desc("z"), "h").limit(SELECTED).select("h").collect()], np.int64).view(W.U))
     known = detector.hashes
 

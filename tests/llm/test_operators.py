@@ -411,6 +411,45 @@ def test_factorisation_identity():
     assert np.isclose(m.raw(stats, np.zeros(3, int), bucket, value)[0][0], m.w0[0] + m.w @ x + pairs)
 
 
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_positive_unlabelled_risk(shift):
+    """The risk against a plain loop, and its step against differences; with ``shift`` positives score so high that the bracket is negative."""
+    rng = np.random.default_rng(2)
+    xp, xu, prior = rng.normal(size=(7, 3)), rng.normal(size=(11, 3)), 0.4
+    theta = np.array([0.3, -0.7, 0.2])
+    if shift:
+        xp, xu = xp + shift * np.sign(theta), xu - shift * np.sign(theta)
+    loss = lambda s: 1 / (1 + np.exp(s))
+
+    def parts(t):
+        first = prior * sum(loss(x @ t) for x in xp) / 7
+        return first, sum(loss(-(x @ t)) for x in xu) / 11 - prior * sum(loss(-(x @ t)) for x in xp) / 7
+
+    risk, step = toxicity.risk_step(theta, xp, xu, prior)
+    first, bracket = parts(theta)
+    assert (bracket < 0) == bool(shift) and np.isclose(risk, first + max(0, bracket))
+    for k in range(3):
+        d = np.eye(3)[k] * 1e-6
+        slope = [(a - b) / 2e-6 for a, b in zip(parts(theta + d), parts(theta - d))]
+        assert np.isclose(step[k], -slope[1] if shift else sum(slope), atol=1e-6)
+
+
+@pytest.mark.parametrize("which", ["quality", "toxicity"])
+def test_classifiers_score_rows_without_id(spark, which):
+    docs, labels, _, n = labelled(spark, 8)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 40 != 7, F.col("doc_id")))
+    run = (lambda: quality.score_quality(docs, quality.fit_quality(docs, labels))) if which == "quality" else (lambda: toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)))
+    rows = run().collect()
+    assert len(rows) == n and any(r.doc_id is None for r in rows) and all(0 <= r.score <= 1 and not (r.doc_id is None and r.held_out) for r in rows)
+
+
+def test_packing_and_pages_without_id(spark):
+    rows = packing.pack(table(spark, [(None, "some words"), (None, "other"), (1, "some words")]), tokenizer_path()).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "None", "None"]
+    pages = spark.createDataFrame([(None, "u", "<article><p>" + PARAGRAPHS[0] + "</p></article>")], "page_id long, url string, html string")
+    assert [tuple(r)[:2] for r in html_extract.extract(pages).collect()] == [(None, "u")]
+
+
 def test_without_toxic_keeps_columns_and_clean_rows(spark):
     docs, labels, truth, n = labelled(spark, 9)
     detector = toxicity.fit_toxicity(docs, labels)
