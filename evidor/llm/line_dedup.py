@@ -119,7 +119,7 @@ def line_classes(docs: DataFrame, once: DataFrame, threshold: float = THRESHOLD)
     large = rows.where(F.col("m") > SMALL)
     pairs = small_pairs(rows)
     if not large.isEmpty():
-        sets = cut(large.select("id", "root").distinct()).join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
+        sets = large.select("id", "root").distinct().join(texts, "id").select("id", "root", shingles(F.col("t")).alias("s"))
         pairs = pairs.union(prefix_pairs(sets, threshold)).distinct()
     found = cut(similar(texts, promising(pairs, sigs), threshold))
     discard(texts, sigs)

@@ -14,6 +14,8 @@ from .common import cut, discard, maybe_in, stored
 
 #: Members of a group whose open pairs are formed in full; parts into which the ids of one token are dealt.
 SMALL, SALTS = 64, 16
+#: Numbers of sets from which a token is of the next class of frequency.
+OFTEN = (3, 9, 27, 81)
 
 
 def shared_groups(keyed: DataFrame) -> DataFrame:
@@ -58,18 +60,21 @@ def small_pairs(rows: DataFrame, small: int = SMALL) -> DataFrame:
 def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: of (id, root, s), all pairs with different roots whose sets s can have a similarity of ``threshold``.
 
-    Put the tokens of both in one order: two such sets share one of the first (1 - threshold) * n + 1 of each. First
-    come tokens not found twice in an eighth of the sets, as far as a filter tells, so that few sets share them. A
-    token's ids of its largest component are met by the others only; ids of a token are dealt to salts on one side and
-    repeated on the other.
+    Put the tokens of both in one order: two such sets share one of the first (1 - threshold) * n + 1 of each. Rarer
+    tokens come first, as far as filters of bounded size tell, so that few sets share them. A token's ids of its largest
+    component are met by the others only; ids of a token are dealt to salts on one side and repeated on the other.
     """
-    eighth = sets.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select(F.explode_outer("s").alias("x"))
-    often = cut(eighth.groupBy("x").agg(F.count("*").alias("f")).where("f > 1").select("x"))
-    tokens = maybe_in(sets.select("id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("x")), "x", often)
-    parts = [F.sort_array(F.collect_list(F.when(c, F.col("x")))) for c in (~F.col("_maybe"), F.col("_maybe"))]
+    sets = stored(sets, "sets")
+    often = cut(sets.select(F.explode_outer("s").alias("x")).groupBy("x").agg(F.count("*").alias("f")).where(F.col("f") >= OFTEN[0]))
+    tokens = sets.select("id", "root", F.size("s").alias("n"), F.explode_outer("s").alias("x")).withColumn("often", F.lit(0))
+    for least in OFTEN:
+        held = maybe_in(tokens, "x", often.where(F.col("f") >= least).select("x"))
+        tokens = held.select("id", "root", "n", "x", (F.col("often") + F.col("_maybe").cast("int")).alias("often"))
+    parts = [F.sort_array(F.collect_list(F.when(F.col("often") == k, F.col("x")))) for k in range(len(OFTEN) + 1)]
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1
     kept = tokens.groupBy("id", "root", "n").agg(F.concat(*parts).alias("t"))
     prefix = cut(kept.select("id", "n", "root", F.explode(F.slice("t", F.lit(1), length)).alias("x")))
+    discard(sets)
     each = prefix.groupBy("x", "root").agg(F.count("*").alias("c"))
     token = cut(each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
     held = maybe_in(prefix, "x", token.select("x")).where("_maybe").drop("_maybe").join(token, "x")
