@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidor.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from evidor.llm.common import cut, drop_ids, shared_folder, table
+from evidor.llm.common import cut, drop_ids, remove_folder, shared_folder, table
 from evidor.llm.queries import tokenizer_path
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier line or nearly so."""
-    return line_dedup.without_duplicates(docs)
+    """Documents without the lines that repeat an earlier line or nearly so; those of which nothing is left are dropped."""
+    return line_dedup.without_duplicates(docs, keep_emptied=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents`` after all stages."""
+    """The packed pieces of ``documents`` after all stages. A stage's folder goes when the next one is written."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
