@@ -26,7 +26,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: and the share of links right at the threshold.
 TREES, DEPTH, TARGET, TARGET_LEAST = 12, 6, 0.9995, 0.99
 #: Documents of a block, and n-grams that a block may hold: larger documents come in smaller blocks.
-BLOCK, BLOCK_GRAMS = 512, 1 << 22
+BLOCK, BLOCK_GRAMS = 2048, 1 << 22
 #: Documents of a node up to which its open pairs are formed; more are compared block by block.
 SMALL = 8
 
@@ -273,9 +273,7 @@ def descend(docs: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
             need = cut(maybe_in(heads, "id", ids if grams is None else cut(ids.join(grams, "id", "left_anti"))).where("_maybe").select("id", "set1"))
             more = gram_sets(docs, need if grams is None else need.join(grams, "id", "left_anti"), size)
             grams = more if grams is None else grams.union(more)
-            follow(star_pairs(rows))
-            rows = still_open(rows.drop("root"), roots, 4)
-            follow(small_pairs(rows, SMALL))
+            follow(star_pairs(rows).union(small_pairs(rows, SMALL)).distinct())
         if deep_enough(links, depth, threshold) if links is not None else found_share(threshold, depth) >= TARGET:
             break
     if roots is not None:

@@ -16,6 +16,8 @@ from .common import cut, discard, maybe_in, stored
 SMALL, SALTS = 64, 16
 #: Numbers of sets from which a token is of the next class of frequency.
 OFTEN = (3, 9, 27, 81)
+#: Sets of a token beyond which they are dealt to salts.
+MANY = 4096
 
 
 def shared_groups(keyed: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
     Put the tokens of both in one order: two such sets share one of the first (1 - threshold) * n + 1 of each. Rarer
     tokens come first, as far as filters of bounded size tell, so that few sets share them. A token's ids of its largest
-    component are met by the others only; ids of a token are dealt to salts on one side and repeated on the other.
+    component are met by the others only; ids of a frequent token are dealt to salts on one side and repeated on the other.
     """
     sets = stored(sets, "sets")
     often = cut(sets.select(F.explode_outer("s").alias("x")).groupBy("x").agg(F.count("*").alias("f")).where(F.col("f") >= OFTEN[0]))
@@ -76,10 +78,11 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     prefix = cut(kept.select("id", "n", "root", F.explode(F.slice("t", F.lit(1), length)).alias("x")))
     discard(sets)
     each = prefix.groupBy("x", "root").agg(F.count("*").alias("c"))
-    token = cut(each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    salts = F.when(F.sum("c") > MANY, SALTS).otherwise(1).alias("salts")
+    token = cut(each.groupBy("x").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("k"), salts).where("k > 1").drop("k"))
     held = maybe_in(prefix, "x", token.select("x")).where("_maybe").drop("_maybe").join(token, "x")
-    left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = held.withColumn("salt", dealt("id"))
+    left = held.where("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     close = F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n") - 1e-9
     met = left.alias("l").join(right.alias("r"), ["x", "salt"]).where((F.col("l.root") != F.col("r.root")) & close)
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
