@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bits of a value below its cell.
+CELL_BITS = 10
 POINTS = {"p50": 500, "p95": 950, "p99": 990, "p999": 999}
 
 
 def nearest_rank(samples: DataFrame, keys: list[str], value: str = "latency", points: dict[str, int] = POINTS) -> DataFrame:
-    """Percentiles at index floor(((n - 1) * permille + 500) / 1000) of the sorted values of each group, and the maximum.
+    """Percentiles at index floor(((n - 1) * permille + 500) / 1000) of the sorted whole numbers of each group, and the maximum.
 
-    Values are counted first, so that a group's rows are as many as its distinct values.
+    Values are counted, and the counts summed by cells of 2^CELL_BITS values; only in the cell that holds a percentile are
+    values ranked, so that a group of any size is ranked in many small windows. Null values are left out.
     """
-    counts = samples.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_cell", F.shiftright(F.col(value).cast("bigint"), CELL_BITS))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_in"), F.max(value).alias("_most"))
     w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    at = {name: F.floor(((F.col("_n") - 1) * permille + 500) / 1000) for name, permille in points.items()}
-    picks = [F.min(F.when(F.col("_to") > i, F.col(value))).alias(name) for name, i in at.items()]
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picks, F.max(value).alias("max"))
+    cells = cells.withColumn("_before", F.sum("_in").over(w.orderBy("_cell")) - F.col("_in")).withColumn("_n", F.sum("_in").over(w))
+    index = [F.struct(F.lit(name).alias("point"), F.floor(((F.col("_n") - 1) * permille + 500) / 1000).alias("at")) for name, permille in points.items()]
+    wanted = cells.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_cell").alias("_where"), "_before", "_in", F.explode(F.array(*index)).alias("p"))
+    wanted = wanted.where((F.col("_before") <= F.col("p.at")) & (F.col("p.at") < F.col("_before") + F.col("_in")))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    inside = counts.join(wanted, same & (F.col("_cell") == F.col("_where"))).withColumn("_point", F.col("p.point"))
+    so_far = F.sum("_c").over(Window.partitionBy(*keys, "_point").orderBy(value))
+    picked = inside.withColumn("_to", F.col("_before") + so_far).where(F.col("_to") > F.col("p.at"))
+    names = [F.min(F.when(F.col("_point") == name, F.col(value))).alias(name) for name in points]
+    picked = picked.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(*names)
+    groups = cells.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_most").alias("max"))
+    return groups.join(picked, same).select(*keys, "n", *points, "max")
 
 
 def throughput(samples: DataFrame) -> DataFrame:
